@@ -145,6 +145,44 @@ def windowed(
     return union([cold, hot])
 
 
+def cold_total(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cum: str, total: str | None
+) -> DataFrame:
+    """Running sum where every key fits into one task."""
+    v = cols([value])[0]
+    upto = keyed(by).orderBy(*cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {cum: F.sum(v).over(upto)}
+    if total:
+        added[total] = F.sum(v).over(keyed(by))
+    return df.withColumns(added)
+
+
+def hot_total(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cum: str, total: str | None, size: int
+) -> DataFrame:
+    """Running sum in blocks of ``size`` positions plus the sums of the blocks before."""
+    v = cols([value])[0]
+    rows = range_positions(df, by, order)
+    rows = rows.withColumn(BLOCK, F.floor(F.col(POS) / size).cast("long"))
+    sums = rows.groupBy(*cols(by), BLOCK).agg(F.sum(v).alias("__sum"))
+    earlier = keyed(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *cols(by),
+        BLOCK,
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
+        F.sum("__sum").over(keyed(by)).alias("__all"),
+    )
+    inside = Window.partitionBy(*cols(by), BLOCK).orderBy(POS)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = attach(
+        rows.withColumn("__in", F.sum(v).over(inside)), broadcast_if_small(freeze(starts)), [*by, BLOCK]
+    )
+    out = out.withColumn(cum, F.col("__base") + F.col("__in"))
+    if total:
+        out = out.withColumn(total, F.col("__all"))
+    return out.drop(POS, BLOCK, "__in", "__base", "__all")
+
+
 def running_total(
     df: DataFrame,
     by: Sequence[str],
@@ -153,43 +191,15 @@ def running_total(
     cum: str = "__cum",
     total: str | None = None,
     max_rows: int | None = None,
-    measure: Column | None = None,
 ) -> DataFrame:
-    """Add the inclusive running sum of ``value``, and the key's total when asked.
-
-    ``measure`` replaces the row count as the size of a key; see :func:`split_hot`.
-    """
+    """Add the inclusive running sum of ``value``, and the key's total when asked."""
     limit = max_rows or max_group_rows(df.sparkSession)
-    split = split_hot(df, by, limit, measure)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    v = cols([value])[0]
+    split = split_hot(df, by, limit)
     cold = hot = None
     if split.cold is not None:
-        added = {cum: F.sum(v).over(keyed(by).orderBy(*cols(order)).rowsBetween(*upto))}
-        if total:
-            added[total] = F.sum(v).over(keyed(by))
-        cold = split.cold.withColumns(added)
+        cold = cold_total(split.cold, by, order, value, cum, total)
     if split.hot is not None:
-        rows = range_positions(split.hot, by, order)
-        rows = rows.withColumn(BLOCK, F.floor(F.col(POS) / limit).cast("long"))
-        sums = rows.groupBy(*cols(by), BLOCK).agg(F.sum(v).alias("__sum"))
-        earlier = keyed(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select(
-            *cols(by),
-            BLOCK,
-            F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
-            F.sum("__sum").over(keyed(by)).alias("__all"),
-        )
-        inside = Window.partitionBy(*cols(by), BLOCK).orderBy(POS).rowsBetween(*upto)
-        hot = attach(
-            rows.withColumn("__in", F.sum(v).over(inside)),
-            broadcast_if_small(freeze(starts)),
-            [*by, BLOCK],
-        )
-        hot = hot.withColumn(cum, F.col("__base") + F.col("__in"))
-        if total:
-            hot = hot.withColumn(total, F.col("__all"))
-        hot = hot.drop(POS, BLOCK, "__in", "__base", "__all")
+        hot = hot_total(split.hot, by, order, value, cum, total, limit)
     return union([cold, hot])
 
 
