@@ -58,8 +58,13 @@ def _blocks_of(rank: Column, n: Column, table: Column, m: int) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Whole-number quotient of non-negative longs, exact beyond 2**53."""
-    return ((a - F.pmod(a, b)).cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
+    """Whole-number quotient of longs."""
+    return F.call_function("div", a, b)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also when ``use`` repeats it in a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _permuted(blocks: Column, rank: Column, m: int) -> Column:
@@ -104,15 +109,15 @@ def partitions_of(
     rows = expand(sized, "__total", "rank").drop("__total")
     order = F.pmod(F.col("rank"), F.lit(orders))
     which = _blocks_of(_div(F.col("rank"), F.lit(orders).cast("long")), n, table, m)
-    rows = rows.withColumn("__of", which)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit(m - 1)),
-        lambda b: F.filter(q(items), lambda x, i: F.element_at(F.col("__of"), i + 1) == b),
-    )
-    rows = rows.withColumn(name, blocks)
+    numbers = F.sequence(F.lit(0), F.lit(m - 1))
+
+    def blocks_from(of: Column) -> Column:
+        return F.transform(numbers, lambda b: F.filter(q(items), lambda x, i: F.element_at(of, i + 1) == b))
+
+    blocks = _with(which, blocks_from)
     if ordered:
-        rows = rows.withColumn(name, _permuted(F.col(name), order, m))
-    return rows.drop("__of")
+        blocks = _with(blocks, lambda found: _permuted(found, order, m))
+    return rows.withColumn(name, blocks)
 
 
 def set_partitions(spark: SparkSession, items: Sequence, m: int) -> DataFrame:
