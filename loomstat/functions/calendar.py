@@ -79,7 +79,7 @@ def is_week_end(d: Column | str) -> Column:
 
 
 def previous_week_end(d: Column | str) -> Column:
-    """The last Sunday before ``d``."""
+    """The last Sunday up to ``d``."""
     return F.date_sub(F.next_day(_c(d), "Sun"), F.lit(7))
 
 

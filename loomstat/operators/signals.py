@@ -118,18 +118,18 @@ def _prefix_states(keys: list[str], step: np.ndarray):
     return run
 
 
-def _filtered(keep: list[str], filt: BlockFilter, step: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            ys = []
-            for x, near, far, at in zip(batch["xs"], batch["near"], batch["far"], batch["at"]):
-                start = None
-                if near is not None:
-                    start = np.asarray(near) + np.linalg.matrix_power(step, int(at)) @ np.asarray(far)
-                ys.append(filt.run(np.asarray(x, dtype=float), start)[0])
-            out["ys"] = ys
-            yield out
+def _filtered(filt: BlockFilter, step: np.ndarray):
+    """Column function: a block's output from its input and its starting state."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(xs: pd.Series, near: pd.Series, far: pd.Series, at: pd.Series) -> pd.Series:
+        ys = []
+        for x, z, top, i in zip(xs, near, far, at):
+            start = None
+            if z is not None:
+                start = np.asarray(z) + np.linalg.matrix_power(step, int(i)) @ np.asarray(top)
+            ys.append(filt.run(np.asarray(x, dtype=float), start)[0])
+        return pd.Series(ys)
 
     return run
 
@@ -194,9 +194,8 @@ def iir_filter(
         )
         starts = attach(near, far, [*by, "grp"]).withColumn("at", F.col("blk") - F.col("grp") * chain)
         started = attach(packed, starts.drop("grp"), keys, "left")
-    keep = [*by, "rows"]
-    ready = started.select(*cols(keep), xs, "near", "far", "at")
-    out = ready.mapInPandas(_filtered(keep, filt, step), _schema(packed, keep, "ys array<double>"))
+    ys = _filtered(filt, step)(xs, "near", "far", "at")
+    out = started.select(*cols(by), "rows", ys.alias("ys"))
     flat = out.select(*cols(by), F.explode(F.arrays_zip("rows", "ys")).alias("z"))
     return flat.select(
         *cols(by),
