@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstat.catalog.registry import Tables, query, r
+from loomstat.functions.calendar import ntz_to_micros
 from loomstat.plans.scratch import work_path
 from loomstat.sources import generators as gen
 from loomstat.sources.archives import unzip_rows
@@ -78,27 +79,25 @@ def _spans(t: Tables):
         SELECT user_id, i, (a + (2 * i::HUGEINT * (b - a) + g) // (2 * g))::BIGINT AS micros FROM e""",
 )
 def s5(t: Tables):
-    from loomstat.functions.calendar import ntz_to_micros
-
     return gen.linspace_per_key(_spans(t), "a", "b", "n").select("user_id", "i", ntz_to_micros("value").alias("micros"))
 
 
 @query(
     "s5_linspace_numbers",
     f"""WITH {SPANS}, e AS (SELECT *, unnest(range(0, n)) AS i FROM u)
-        SELECT user_id, i, round(va + i * (vb - va) / greatest(n - 1, 1), 6) AS value FROM e""",
+        SELECT user_id, i, CASE WHEN n > 1 AND i = n - 1 THEN vb ELSE va + i * ((vb - va) / greatest(n - 1, 1)) END AS value FROM e""",
 )
 def s5n(t: Tables):
-    return gen.linspace_per_key(_spans(t), "va", "vb", "n").select("user_id", "i", r("value").alias("value"))
+    return gen.linspace_per_key(_spans(t), "va", "vb", "n").select("user_id", "i", "value")
 
 
 @query(
     "s6_arange_numbers",
     f"""WITH {SPANS}, e AS (SELECT *, unnest(range(0, ceil((vb - va) / 2.5)::BIGINT)) AS i FROM u)
-        SELECT user_id, i, round(va + i * 2.5, 6) AS value FROM e""",
+        SELECT user_id, i, va + i * 2.5 AS value FROM e""",
 )
 def s6(t: Tables):
-    return gen.grid_per_key(_spans(t), "va", "vb", 2.5).select("user_id", "i", r("value").alias("value"))
+    return gen.grid_per_key(_spans(t), "va", "vb", 2.5).select("user_id", "i", "value")
 
 
 @query(
@@ -107,8 +106,6 @@ def s6(t: Tables):
         SELECT user_id, (micros - a) // 21600000000 AS i, micros FROM e""",
 )
 def s7(t: Tables):
-    from loomstat.functions.calendar import ntz_to_micros
-
     grid = gen.grid_per_key(_spans(t), "a", "b", dt.timedelta(hours=6))
     return grid.select("user_id", "i", ntz_to_micros("value").alias("micros"))
 

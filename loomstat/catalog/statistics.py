@@ -166,7 +166,9 @@ def g1(t: Tables):
     return psd.withColumn("psd", r("psd", 4))
 
 
-B, A = [0.2, 0.3, 0.1], [1.0, -0.9, 0.4]
+# long coefficients, so that no output lies on a rounding border
+B = [0.2071067811865, 0.3141592653590, 0.1123456789012]
+A = [1.0, -0.9016994374947, 0.4013579246801]
 
 
 @query(
