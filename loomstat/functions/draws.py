@@ -55,6 +55,25 @@ def draws_of_chunk(
     return k
 
 
+def _sums_with(rng: np.random.Generator, items: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """k[r] items drawn with replacement and added up, for a few replicates r."""
+    return np.array([items[rng.integers(0, len(items), n)].sum() for n in k])
+
+
+def _sums_without(rng: np.random.Generator, items: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Sums of subsets of exactly k[r] items, for a few replicates r.
+
+    Items are kept by independent coins; all subsets of the size that comes out are then
+    equally likely, and random items are added or removed until the size is right.
+    """
+    kept = rng.random((len(k), len(items)), dtype=np.float32) < (k / len(items))[:, None]
+    short = k - kept.sum(axis=1)
+    for r in np.flatnonzero(short):
+        pool = np.flatnonzero(kept[r] != (short[r] > 0))
+        kept[r, rng.choice(pool, abs(int(short[r])), replace=False, shuffle=False)] = short[r] > 0
+    return kept @ items
+
+
 def sums_of_chunk(
     rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, k: np.ndarray, replace: bool
 ) -> np.ndarray:
@@ -62,18 +81,12 @@ def sums_of_chunk(
     if len(values) == 1:
         return values[0] * k
     weight = int(counts.sum())
-    few_copies = weight <= _EXPAND * len(values)
+    if weight <= _EXPAND * len(values):
+        items, draw = np.repeat(values, counts), _sums_with if replace else _sums_without
+        # a few replicates at a time stay in the processor's cache
+        return np.concatenate([draw(rng, items, part) for part in np.array_split(k, max(1, len(k) // 10))])
     if replace:
-        if few_copies:
-            items = np.repeat(values, counts)
-            picked = items[rng.integers(0, weight, int(k.sum()))]
-            return np.bincount(np.repeat(np.arange(len(k)), k), weights=picked, minlength=len(k))
         return rng.multinomial(k, counts / weight) @ values
-    if few_copies:
-        items = np.tile(np.repeat(values, counts), (len(k), 1))
-        shuffled = np.cumsum(rng.permuted(items, axis=1), axis=1)
-        upto = np.take_along_axis(shuffled, np.maximum(k - 1, 0)[:, None], axis=1)[:, 0]
-        return np.where(k > 0, upto, 0.0)
     sums, rest = np.zeros(len(k)), weight
     for value, count in zip(values, counts):
         rest -= int(count)

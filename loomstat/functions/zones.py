@@ -54,17 +54,25 @@ def resolve_zone(zone: Column | str, overrides: Mapping[str, str] | None = None)
     return F.when(zone.isin(names), zone).otherwise(F.try_element_at(table, zone))
 
 
-def local_to_utc(ts: Column | str, zone: Column | str) -> Column:
-    """UTC wall clock of a local time. Skipped times use the offset before the gap;
-    of two possible readings the later one (standard time) is taken."""
-    ts, zone = _c(ts).cast("timestamp_ntz"), _c(zone)
-    for name, alias in JVM_ALIASES.items():
-        zone = F.when(zone == name, alias).otherwise(zone)
+def with_utc(df: DataFrame, ts: Column | str, zone: Column | str, name: str) -> DataFrame:
+    """Add the UTC wall clock of a local time.
+
+    Skipped times use the offset before the gap; of two possible readings the later one
+    (standard time) is taken. The steps are separate columns, so that each of the costly
+    conversions is evaluated once per row.
+    """
     utc = F.lit("UTC")
-    first = F.convert_timezone(zone, utc, ts)
+    known = _c(zone)
+    for other, alias in JVM_ALIASES.items():
+        known = F.when(known == other, alias).otherwise(known)
+    out = df.withColumn("__zone", known).withColumn("__ts", _c(ts).cast("timestamp_ntz"))
+    out = out.withColumn("__first", F.convert_timezone(F.col("__zone"), utc, F.col("__ts")))
     # the offset in force a day later gives the second reading, if there is one
-    day = F.expr("interval 1 day")
-    offset_later = F.convert_timezone(utc, zone, first + day) - (first + day)
-    second = ts - offset_later
-    is_reading = (second > first) & (F.convert_timezone(utc, zone, second) == ts)
-    return F.when(is_reading, second).otherwise(first)
+    out = out.withColumn("__day", F.col("__first") + F.expr("interval 1 day"))
+    later = F.convert_timezone(utc, F.col("__zone"), F.col("__day"))
+    out = out.withColumn("__second", F.col("__ts") - (later - F.col("__day")))
+    is_reading = (F.col("__second") > F.col("__first")) & (
+        F.convert_timezone(utc, F.col("__zone"), F.col("__second")) == F.col("__ts")
+    )
+    chosen = F.when(is_reading, F.col("__second")).otherwise(F.col("__first"))
+    return out.withColumn(name, chosen).drop("__zone", "__ts", "__first", "__day", "__second")

@@ -17,6 +17,8 @@ from loomstat.plans.keys import q
 from loomstat.plans.positions import expand
 
 _MAX = (1 << 63) - 1
+# up to this many assignments are decoded once and broadcast
+FEW_ASSIGNMENTS = 100_000
 
 
 def completions(items: int, m: int) -> list[list[int]]:
@@ -67,8 +69,8 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _permuted(blocks: Column, rank: Column, m: int) -> Column:
-    """Blocks in the order with the given number, by repeatedly taking one of the rest."""
+def _order_of(rank: Column, m: int) -> Column:
+    """The permutation of 0 .. m-1 with the given number, by repeatedly taking one of the rest."""
 
     def take(state: Column, i: Column) -> Column:
         size = F.size(state["rest"])
@@ -81,10 +83,24 @@ def _permuted(blocks: Column, rank: Column, m: int) -> Column:
             F.array_append(state["out"], F.element_at(state["rest"], at)).alias("out"),
         )
 
-    begin = F.struct(rank.alias("rank"), blocks.alias("rest"), F.slice(blocks, 1, 0).alias("out"))
+    numbers = F.sequence(F.lit(0), F.lit(m - 1))
+    begin = F.struct(rank.alias("rank"), numbers.alias("rest"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(m)), begin, take, lambda state: state["out"])
 
 
+def _assignment(rank: Column, n: Column, m: int, max_items: int, ordered: bool) -> Column:
+    """Block number of each of n items in the partition with the given number."""
+    table = F.array(*[F.array(*[F.lit(c).cast("long") for c in row]) for row in completions(max_items, m)])
+    if not ordered:
+        return _blocks_of(rank, n, table, m)
+    orders = F.lit(math.factorial(m)).cast("long")
+    blocks = _blocks_of(_div(rank, orders), n, table, m)
+    return _with(
+        _order_of(F.pmod(rank, orders), m),
+        lambda order: F.transform(blocks, lambda b: F.element_at(order, b + 1)),
+    )
+
+
 def partitions_of(
     df: DataFrame, items: str, m: int, max_items: int, ordered: bool = False, name: str = "blocks"
 ) -> DataFrame:
@@ -93,31 +109,38 @@ def partitions_of(
     Adds ``rank`` and ``blocks`` (array of arrays, ordered by first item). ``ordered`` gives
     every ordering of the blocks instead. A row with fewer than m items gives no rows; one
     with more than ``max_items`` is an error.
+
+    While all assignments for up to ``max_items`` items are few (a number known from the
+    arguments), they are decoded once and broadcast; else every row decodes its own, and
+    long rows are spread over tasks.
     """
     if m < 1:
         raise ValueError("at least one block")
     orders = math.factorial(m) if ordered else 1
-    _count(max_items, m, orders)
-    counts = completions(max_items, m)
-    table = F.array(*[F.array(*[F.lit(c).cast("long") for c in row]) for row in counts])
+    sizes = [_count(i, m, orders) if i else 0 for i in range(max_items + 1)]
     n = F.size(q(items))
-    totals = F.array(*[F.lit(counts[i][0] * orders if i else 0).cast("long") for i in range(max_items + 1)])
-    too_long = F.raise_error(F.lit(f"more than {max_items} items")).cast("long")
-    sized = df.withColumn(
-        "__total", F.when(n > max_items, too_long).otherwise(F.element_at(totals, F.greatest(n, F.lit(0)) + 1))
-    )
-    rows = expand(sized, "__total", "rank").drop("__total")
-    order = F.pmod(F.col("rank"), F.lit(orders))
-    which = _blocks_of(_div(F.col("rank"), F.lit(orders).cast("long")), n, table, m)
+    too_long = F.raise_error(F.lit(f"more than {max_items} items"))
+    if sum(sizes) <= FEW_ASSIGNMENTS:
+        counts = df.sparkSession.createDataFrame(list(enumerate(sizes)), "__n int, __total long")
+        table = expand(counts, "__total", "rank", spread=False)
+        table = table.select(
+            "__n", "rank", _assignment(F.col("rank"), F.col("__n"), m, max_items, ordered).alias("__of")
+        )
+        wanted = F.when(n > max_items, too_long.cast("int")).otherwise(n)
+        rows = df.join(F.broadcast(table), wanted == F.col("__n")).drop("__n")
+    else:
+        totals = F.array(*[F.lit(s).cast("long") for s in sizes])
+        count = F.when(n > max_items, too_long.cast("long")).otherwise(
+            F.element_at(totals, F.greatest(n, F.lit(0)) + 1)
+        )
+        rows = expand(df.withColumn("__total", count), "__total", "rank").drop("__total")
+        rows = rows.withColumn("__of", _assignment(F.col("rank"), n, m, max_items, ordered))
     numbers = F.sequence(F.lit(0), F.lit(m - 1))
 
     def blocks_from(of: Column) -> Column:
         return F.transform(numbers, lambda b: F.filter(q(items), lambda x, i: F.element_at(of, i + 1) == b))
 
-    blocks = _with(which, blocks_from)
-    if ordered:
-        blocks = _with(blocks, lambda found: _permuted(found, order, m))
-    return rows.withColumn(name, blocks)
+    return rows.withColumn(name, _with(F.col("__of"), blocks_from)).drop("__of")
 
 
 def set_partitions(spark: SparkSession, items: Sequence, m: int) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.zones import local_to_utc, zone_table
+from loomstat.functions.zones import with_utc, zone_table
 from loomstat.plans.keys import as_list, cols, q
+from loomstat.plans.limits import spread_small
 
 
 def align_series(a: DataFrame, b: DataFrame, label: str, value: str, order: str) -> DataFrame:
@@ -70,11 +71,11 @@ def utc_candidates(df: DataFrame, ts: str, zone: str) -> DataFrame:
 
     Adds ``equivalent_zone``, ``datetime_utc`` and ``hrs_wrt_utc`` (whole hours, cut toward
     zero). The zone list has a few thousand rows, fixed by the zone data release, so it is
-    always broadcast and the rows of ``df`` never move.
+    always broadcast and the rows of a large ``df`` never move.
     """
     table = F.broadcast(zone_table(df.sparkSession))
-    joined = df.join(table, q(zone) == F.col("zone_text")).drop("zone_text")
-    out = joined.withColumn("datetime_utc", local_to_utc(q(ts), F.col("equivalent_zone")))
+    joined = spread_small(df).join(table, q(zone) == F.col("zone_text")).drop("zone_text")
+    out = with_utc(joined, q(ts), F.col("equivalent_zone"), "datetime_utc")
     hours = F.timestamp_diff("SECOND", F.col("datetime_utc"), q(ts).cast("timestamp_ntz")) / 3600
     return out.withColumn("hrs_wrt_utc", hours.cast("int"))
 

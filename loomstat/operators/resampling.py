@@ -1,7 +1,7 @@
 """Bootstrap intervals and permutation p-values for samples of any size.
 
 The data is collapsed to (value, count) per key, which is exact and often tiny. The
-distinct values are hashed into chunks of about a thousand, and each (chunk, slice of
+distinct values are hashed into chunks of a few thousand, and each (chunk, slice of
 replicates) is one unit of work, so that neither a key nor a replicate is tied to one
 task. See ``loomstat.functions.draws`` for why the chunks add up to one exact draw. Only
 sums per replicate are shuffled afterwards.
@@ -24,7 +24,7 @@ from loomstat.plans.keys import as_list, attach, cols, q
 from loomstat.plans.limits import broadcast_if_small, shuffle_partitions
 from loomstat.plans.scratch import freeze
 
-CHUNK_VALUES = 1024
+CHUNK_VALUES = 4096
 SLICE = 250
 WITH_REPLACEMENT, WITHOUT = "bootstrap", "permutation"
 
@@ -72,12 +72,12 @@ def _problem_sizes(items: DataFrame, keys: Sequence[str], chunk_values: int) ->
         )
     )
     # the key travels as a 64-bit number, which also seeds its draws
-    return sizes.withColumn("problem", F.xxhash64(*cols(keys)))
+    return broadcast_if_small(sizes.withColumn("problem", F.xxhash64(*cols(keys))))
 
 
 def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
     """One row per chunk: sorted ``values``, ``counts``, ancestor weights, draws ``total``."""
-    placed = attach(items, broadcast_if_small(sizes), keys)
+    placed = attach(items, sizes, keys)
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")))
     at = [*keys, "chunk"]
     pairs = F.array_sort(F.collect_list(F.struct("v", "c")))
@@ -161,7 +161,7 @@ def _replicates(
         .groupBy("problem", (F.col("part") * SLICE + F.col("at")).alias("replicate"))
         .agg(F.sum("x").alias("x"))
     )
-    labelled = sums.join(broadcast_if_small(sizes.select(*cols(keys), "problem")), "problem")
+    labelled = sums.join(sizes.select(*cols(keys), "problem"), "problem")
     return labelled.groupBy(*cols(by), "replicate").agg(
         F.max(F.when(F.col("side") == "a", F.col("x"))).alias("draw_a"),
         F.max(F.when(F.col("side") == "b", F.col("x"))).alias("draw_b"),

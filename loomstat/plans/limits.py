@@ -40,3 +40,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     if size["n"] <= rows and (size["bytes"] or 0) <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores before work that is long per row.
+
+    A small table is often one file and hence one task. A large scan has many tasks already
+    and is returned as it is; its size is the optimizer's estimate, so nothing is run.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(parallelism) if estimate < parallelism * 16 * 1024 * 1024 else df

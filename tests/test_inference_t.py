@@ -33,6 +33,9 @@ def test_distribution():
     for df in (1e6, 1e9, 1e13):
         assert upper_tail(1.959963984540054, df) == pytest.approx(0.025, abs=1e-6)
     assert quantile(0.975, 1e12) == pytest.approx(1.959963984540054, abs=1e-9)
+    for p in (0.6, 0.95, 0.9995):
+        assert upper_tail(quantile(p, 2001), 2001) == pytest.approx(1 - p, rel=1e-9)
+        assert quantile(p, 2000) == pytest.approx(quantile(p, 2001), rel=1e-5)
     assert upper_tail(40.0, 1e9) == pytest.approx(0.0, abs=1e-300)
     assert upper_tail(-1.3, 7) + upper_tail(1.3, 7) == pytest.approx(1)
     assert math.isnan(upper_tail(1, 0)) and math.isnan(quantile(0.5, 0))
