@@ -26,6 +26,8 @@ from loomstat.plans.scratch import freeze
 
 CHUNK_VALUES = 4096
 SLICE = 250
+# a key with this many chunks is parallel enough without cutting its replicates as well
+MANY_CHUNKS = 256
 WITH_REPLACEMENT, WITHOUT = "bootstrap", "permutation"
 
 
@@ -89,7 +91,7 @@ def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFram
     largest = sizes.agg(F.max("chunks")).first()[0] or 1
     if largest <= 1:
         empty = F.array().cast("array<long>")
-        return rows.withColumn("left", empty).withColumn("right", empty).drop("w", "chunks")
+        return rows.withColumn("left", empty).withColumn("right", empty).drop("w")
     rows = freeze(rows)
     height = F.ceil(F.log2(F.col("chunks"))).cast("int")
     levels = rows.filter("chunks > 1").select(
@@ -109,28 +111,27 @@ def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFram
     none = F.array().cast("array<long>")
     return out.withColumn("left", F.coalesce(F.col("__path.l"), none)).withColumn(
         "right", F.coalesce(F.col("__path.r"), none)
-    ).drop("__path", "w", "chunks")
+    ).drop("__path", "w")
 
 
-def _draw(kind: str, n: int, seed: int):
+def _draw(kind: str, seed: int):
     replace = kind == WITH_REPLACEMENT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done: dict[tuple[int, int], np.ndarray] = {}
             for row in batch.itertuples(index=False):
-                size = min(SLICE, n - row.part * SLICE)
                 identity = (seed, int(replace), row.problem)
                 k = draws_of_chunk(
-                    identity, row.chunk, row.part, row.left, row.right, row.total, size, replace
+                    identity, row.chunk, row.first, row.left, row.right, row.total, row.size, replace
                 )
-                rng = generator(*identity, 2, row.chunk, row.part)
+                rng = generator(*identity, 2, row.chunk, row.first)
                 sums = sums_of_chunk(rng, np.asarray(row.values), np.asarray(row.counts), k, replace)
                 # chunks of one problem in one batch are added up before the shuffle
-                at = (row.problem, row.part)
+                at = (row.problem, row.first)
                 done[at] = done[at] + sums if at in done else np.asarray(sums, dtype=float)
             yield pd.DataFrame(
-                {"problem": [p for p, _ in done], "part": [s for _, s in done], "sums": list(done.values())}
+                {"problem": [p for p, _ in done], "first": [f for _, f in done], "sums": list(done.values())}
             )
 
     return run
@@ -150,15 +151,17 @@ def _replicates(
     items = _problems(sketch, by, kind)
     sizes = _problem_sizes(items, keys, chunk_values)
     chunks = _chunks(items, keys, sizes)
-    parts = (n + SLICE - 1) // SLICE
+    step = F.when(F.col("chunks") >= MANY_CHUNKS, n).otherwise(SLICE)
     units = chunks.select(
-        "problem", "chunk", "total", "values", "counts", "left", "right",
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    ).repartition(_width(sketch), "problem", "chunk", "part")
-    drawn = units.mapInPandas(_draw(kind, n, seed), "problem long, part int, sums array<double>")
+        "problem", "chunk", "total", "values", "counts", "left", "right", step.alias("step"),
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1), step)).alias("first"),
+    )
+    units = units.withColumn("size", F.least(F.col("step"), n - F.col("first"))).drop("step")
+    units = units.repartition(_width(sketch), "problem", "chunk", "first")
+    drawn = units.mapInPandas(_draw(kind, seed), "problem long, first int, sums array<double>")
     sums = (
-        drawn.select("problem", "part", F.posexplode("sums").alias("at", "x"))
-        .groupBy("problem", (F.col("part") * SLICE + F.col("at")).alias("replicate"))
+        drawn.select("problem", "first", F.posexplode("sums").alias("at", "x"))
+        .groupBy("problem", (F.col("first") + F.col("at")).alias("replicate"))
         .agg(F.sum("x").alias("x"))
     )
     labelled = sums.join(sizes.select(*cols(keys), "problem"), "problem")

@@ -107,3 +107,12 @@ def test_large_population_limit():
     spread = 1e9 * 0.75 * 0.25 * 3 / 4
     assert drawn.mean() == pytest.approx(0.75e9, abs=5 * np.sqrt(spread / 3000))
     assert drawn.var() == pytest.approx(spread, rel=0.12)
+
+
+def test_many_chunks_take_whole_replicates(spark, monkeypatch):
+    from loomstat.operators import resampling
+
+    monkeypatch.setattr(resampling, "MANY_CHUNKS", 3)
+    df = heights(spark)
+    p = permutation_test(df, None, "g", "v", "m", "w", n=3000, seed=2, chunk_values=4).first().p_value
+    assert p == pytest.approx(0.392, abs=0.03)
