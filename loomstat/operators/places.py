@@ -84,7 +84,7 @@ def nearest_place(
 
     Points farther than ``max_km`` from every place get NULL; ties go to the smaller place
     id. Equal coordinates are searched once. The search starts on a fine grid of
-    ``first_km`` cells, where even a crowded area has few places per cell, and repeats with
+    ``first_km`` cells (a sixteenth of ``max_km`` unless given), where even a crowded area has few places per cell, and repeats with
     four times the radius for the coordinates that are still open, up to ``max_km``. A hit
     within the radius of a round is the nearest place overall, so no later round can change it.
     """
@@ -96,7 +96,7 @@ def nearest_place(
         q(place_lon).cast("double").alias("__plon"),
         q(place_lat).cast("double").alias("__plat"),
     ).filter(F.col("__plon").isNotNull() & F.col("__plat").between(-90, 90))
-    radius = min(first_km or max_km, max_km)
+    radius = min(first_km or max_km / 16, max_km)
     found, todo = None, spots
     while True:
         tried = _nearest_within(todo, table, radius)

@@ -32,7 +32,7 @@ def _ranked(df: DataFrame, by: Sequence[str], column: str, max_rows: int | None)
     if split.cold is not None:
         cold = cold_total(collapse(split.cold), by, ["v"], "c", "hi", "n")
     if split.hot is not None:
-        hot = hot_total(collapse(split.hot), by, ["v"], "c", "hi", "n", limit)
+        hot = hot_total(collapse(split.hot), by, ["v"], "c", "hi", "n", split.hot_rows, limit)
     return union([cold, hot]).select(*cols(by), "v", (F.col("hi") - F.col("c")).alias("lo"), "hi", "n")
 
 

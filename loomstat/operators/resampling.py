@@ -202,7 +202,7 @@ def _exceeding(sketch, by, n, seed, chunk_values) -> DataFrame:
         F.avg((F.abs(permuted) > F.abs(observed) + slack).cast("double")).alias("p_two_sided"),
         F.max("n_a").alias("n_a"),
         F.max("n_b").alias("n_b"),
-    )
+    ).filter("n_a > 0")
 
 
 def mean_ci_bootstrap(

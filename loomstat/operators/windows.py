@@ -104,7 +104,7 @@ def true_runs(
         cold = _runs(rows, [*by, "__n"], "__flag").drop("__island")
     if split.hot is not None:
         # runs per block first; only runs at block borders can belong together
-        rows = range_positions(split.hot, by, order)
+        rows = range_positions(split.hot, by, order, split.hot_rows, limit)
         rows = rows.withColumn(BLOCK, F.floor(F.col(POS) / limit).cast("long"))
         sizes = rows.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("__n"))
         pieces = _runs(rows, [*by, BLOCK], "__flag").drop("__island")

@@ -33,6 +33,7 @@ class Split:
 
     cold: DataFrame | None
     hot: DataFrame | None
+    hot_rows: int = 0
 
 
 def split_hot(
@@ -46,13 +47,14 @@ def split_hot(
     """
     limit = max_rows or max_group_rows(df.sparkSession)
     if not by:
-        return Split(None, df)
+        return Split(None, df, df.count())
     size = F.count(F.lit(1)) if measure is None else measure
     oversized = df.groupBy(*cols(by)).agg(size.alias("__size")).filter(F.col("__size") > limit)
-    if oversized.count() == 0:
+    found = oversized.agg(F.sum("__size")).first()[0]
+    if not found:
         return Split(df, None)
     table = broadcast_if_small(freeze(oversized.select(*cols(by))))
-    return Split(attach(df, table, by, "left_anti"), attach(df, table, by, "left_semi"))
+    return Split(attach(df, table, by, "left_anti"), attach(df, table, by, "left_semi"), found)
 
 
 def union(parts: Sequence[DataFrame | None]) -> DataFrame:
@@ -63,20 +65,23 @@ def union(parts: Sequence[DataFrame | None]) -> DataFrame:
     return out
 
 
-def range_positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def range_positions(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int, limit: int
+) -> DataFrame:
     """Add ``__pos``, the 0-based position within the key, without gathering a key.
 
     ``order`` must be unique within the key for the positions to be repeatable. The
     sorted rows are written once, because range borders come from a sample and must
     not change between the counting pass and the numbering pass. The table of
-    partition sizes has at most (oversized keys + partitions) rows.
+    partition sizes has at most (oversized keys + partitions) rows. There are at least
+    ``rows / limit`` partitions, however large the keys are.
     """
-    parts = shuffle_partitions(df.sparkSession)
+    parts = max(shuffle_partitions(df.sparkSession), -(-rows // limit))
     sort = cols([*by, *order])
     ranged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-    rows = freeze(ranged.withColumn("__mid", F.monotonically_increasing_id()))
-    rows = rows.withColumn("__part", F.shiftright("__mid", 33))
-    sizes = rows.groupBy(*cols(by), "__part").agg(
+    placed = freeze(ranged.withColumn("__mid", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__mid", 33))
+    sizes = placed.groupBy(*cols(by), "__part").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__mid").alias("__first")
     )
     before = keyed(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +92,7 @@ def range_positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> D
             (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
         )
     )
-    numbered = attach(rows, broadcast_if_small(starts), [*by, "__part"])
+    numbered = attach(placed, broadcast_if_small(starts), [*by, "__part"])
     return numbered.withColumn(POS, F.col("__mid") + F.col("__shift")).drop("__mid", "__part", "__shift")
 
 
@@ -95,13 +100,14 @@ def positions(
     df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int | None = None
 ) -> DataFrame:
     """Add ``__pos`` for keys of any size."""
-    split = split_hot(df, by, max_rows)
+    limit = max_rows or max_group_rows(df.sparkSession)
+    split = split_hot(df, by, limit)
     cold = hot = None
     if split.cold is not None:
         numbering = keyed(by).orderBy(*cols(order))
         cold = split.cold.withColumn(POS, F.row_number().over(numbering).cast("long") - 1)
     if split.hot is not None:
-        hot = range_positions(split.hot, by, order)
+        hot = range_positions(split.hot, by, order, split.hot_rows, limit)
     return union([cold, hot])
 
 
@@ -125,7 +131,7 @@ def windowed(
         cold = split.cold.withColumns(dict(make(keyed(by).orderBy(*cols(order)))))
     if split.hot is not None:
         size = max(limit, before + 1, after + 1)
-        rows = range_positions(split.hot, by, order)
+        rows = range_positions(split.hot, by, order, split.hot_rows, limit)
         at = F.pmod(POS, F.lit(size))
         block = F.floor(F.col(POS) / size).cast("long")
         targets = F.array_compact(
@@ -158,13 +164,14 @@ def cold_total(
 
 
 def hot_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cum: str, total: str | None, size: int
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cum: str, total: str | None,
+    rows: int, size: int,
 ) -> DataFrame:
     """Running sum in blocks of ``size`` positions plus the sums of the blocks before."""
     v = cols([value])[0]
-    rows = range_positions(df, by, order)
-    rows = rows.withColumn(BLOCK, F.floor(F.col(POS) / size).cast("long"))
-    sums = rows.groupBy(*cols(by), BLOCK).agg(F.sum(v).alias("__sum"))
+    placed = range_positions(df, by, order, rows, size)
+    placed = placed.withColumn(BLOCK, F.floor(F.col(POS) / size).cast("long"))
+    sums = placed.groupBy(*cols(by), BLOCK).agg(F.sum(v).alias("__sum"))
     earlier = keyed(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         *cols(by),
@@ -175,7 +182,7 @@ def hot_total(
     inside = Window.partitionBy(*cols(by), BLOCK).orderBy(POS)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = attach(
-        rows.withColumn("__in", F.sum(v).over(inside)), broadcast_if_small(freeze(starts)), [*by, BLOCK]
+        placed.withColumn("__in", F.sum(v).over(inside)), broadcast_if_small(freeze(starts)), [*by, BLOCK]
     )
     out = out.withColumn(cum, F.col("__base") + F.col("__in"))
     if total:
@@ -199,7 +206,7 @@ def running_total(
     if split.cold is not None:
         cold = cold_total(split.cold, by, order, value, cum, total)
     if split.hot is not None:
-        hot = hot_total(split.hot, by, order, value, cum, total, limit)
+        hot = hot_total(split.hot, by, order, value, cum, total, split.hot_rows, limit)
     return union([cold, hot])
 
 
