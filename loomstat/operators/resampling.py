@@ -21,7 +21,7 @@ from loomstat.functions.student_t import t_quantile, t_sf
 from loomstat.functions.text import nan_to_null
 from loomstat.operators.inference import t_statistic, two_sample_moments
 from loomstat.plans.keys import as_list, attach, cols, q
-from loomstat.plans.limits import broadcast_if_small, shuffle_partitions
+from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
 
 CHUNK_VALUES = 4096
@@ -77,8 +77,9 @@ def _problem_sizes(items: DataFrame, keys: Sequence[str], chunk_values: int) ->
     return broadcast_if_small(sizes.withColumn("problem", F.xxhash64(*cols(keys))))
 
 
-def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
-    """One row per chunk: sorted ``values``, ``counts``, ancestor weights, draws ``total``."""
+def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> tuple[DataFrame, int]:
+    """One row per chunk: sorted ``values``, ``counts``, ancestor weights, draws ``total``;
+    and the number of chunks."""
     placed = attach(items, sizes, keys)
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")))
     at = [*keys, "chunk"]
@@ -88,10 +89,10 @@ def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFram
         F.max("problem").alias("problem"),
     )
     rows = rows.withColumn("values", F.col("__pairs.v")).withColumn("counts", F.col("__pairs.c")).drop("__pairs")
-    largest = sizes.agg(F.max("chunks")).first()[0] or 1
+    largest, number = (x or 0 for x in sizes.agg(F.max("chunks"), F.sum("chunks")).first())
     if largest <= 1:
         empty = F.array().cast("array<long>")
-        return rows.withColumn("left", empty).withColumn("right", empty).drop("w")
+        return rows.withColumn("left", empty).withColumn("right", empty).drop("w"), number
     rows = freeze(rows)
     height = F.ceil(F.log2(F.col("chunks"))).cast("int")
     levels = rows.filter("chunks > 1").select(
@@ -109,9 +110,8 @@ def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFram
     )
     out = attach(rows, paths, at, "left")
     none = F.array().cast("array<long>")
-    return out.withColumn("left", F.coalesce(F.col("__path.l"), none)).withColumn(
-        "right", F.coalesce(F.col("__path.r"), none)
-    ).drop("__path", "w")
+    sides = {name: F.coalesce(F.col("__path").getField(name[0]), none) for name in ("left", "right")}
+    return out.withColumns(sides).drop("__path", "w"), number
 
 
 def _draw(kind: str, seed: int):
@@ -137,10 +137,11 @@ def _draw(kind: str, seed: int):
     return run
 
 
-def _width(df: DataFrame) -> int:
-    """Tasks for work that is long although its input is short."""
-    spark = df.sparkSession
-    return max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+def _width(df: DataFrame, units: int) -> int:
+    """Tasks for work that is long although its input is short: some per core, and never
+    more than a few dozen units in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(units, max(2 * cores, units // 64)))
 
 
 def _replicates(
@@ -150,14 +151,14 @@ def _replicates(
     keys = [*by, "side"]
     items = _problems(sketch, by, kind)
     sizes = _problem_sizes(items, keys, chunk_values)
-    chunks = _chunks(items, keys, sizes)
+    chunks, number = _chunks(items, keys, sizes)
     step = F.when(F.col("chunks") >= MANY_CHUNKS, n).otherwise(SLICE)
     units = chunks.select(
         "problem", "chunk", "total", "values", "counts", "left", "right", step.alias("step"),
         F.explode(F.sequence(F.lit(0), F.lit(n - 1), step)).alias("first"),
     )
     units = units.withColumn("size", F.least(F.col("step"), n - F.col("first"))).drop("step")
-    units = units.repartition(_width(sketch), "problem", "chunk", "first")
+    units = units.repartition(_width(sketch, number * -(-n // SLICE)), "problem", "chunk", "first")
     drawn = units.mapInPandas(_draw(kind, seed), "problem long, first int, sums array<double>")
     sums = (
         drawn.select("problem", "first", F.posexplode("sums").alias("at", "x"))

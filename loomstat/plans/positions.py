@@ -73,10 +73,12 @@ def range_positions(
     ``order`` must be unique within the key for the positions to be repeatable. The
     sorted rows are written once, because range borders come from a sample and must
     not change between the counting pass and the numbering pass. The table of
-    partition sizes has at most (oversized keys + partitions) rows. There are at least
-    ``rows / limit`` partitions, however large the keys are.
+    partition sizes has at most (oversized keys + partitions) rows. The number of
+    partitions follows the number of rows: all cores are used once they have a thousand rows
+    each, and no partition is planned above ``limit`` rows.
     """
-    parts = max(shuffle_partitions(df.sparkSession), -(-rows // limit))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, rows // 1000), -(-rows // limit), 2)
     sort = cols([*by, *order])
     ranged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
     placed = freeze(ranged.withColumn("__mid", F.monotonically_increasing_id()))
