@@ -21,8 +21,10 @@ from loomstat.plans.scratch import freeze
 VOCABULARY = 1022
 SIZE = 32
 NOISE = 16
-STEPS = 250
-RATE = 0.05
+STEPS = 120
+RATE = 0.02
+# share of the words' own distribution in every prediction
+BACKOFF = 0.1
 # words whose counts are broadcast; a fixed number, the counts of all others are joined
 FREQUENT = 131_072
 
@@ -42,15 +44,12 @@ def train(pairs: np.ndarray, seed: int = 7) -> np.ndarray:
     weight = max(total, 1.0)
     params = [rng.normal(0, 0.1, (n, SIZE)), np.eye(SIZE), rng.normal(0, 0.1, (n, SIZE)), np.log(unigram)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    # rare words before get a like say in the direction of their vectors
-    row_scale = 1.0 / np.sqrt(rows / weight + 1.0 / n)
     for step in range(1, STEPS + 1):
         r, c, q, b = params
         predicted = r @ c
         score = predicted @ q.T + b
         real = 1.0 / (1.0 + np.exp(np.clip(log_noise - score, -60, 60)))
         slope = (counts * (1.0 - real) - NOISE * rows * unigram * real) / weight
-        slope *= row_scale
         back = slope @ q
         grads = [back @ c.T - 1e-4 * r / n, r.T @ back, slope.T @ predicted - 1e-4 * q / n, slope.sum(axis=0)]
         for k, g in enumerate(grads):
@@ -60,8 +59,9 @@ def train(pairs: np.ndarray, seed: int = 7) -> np.ndarray:
             params[k] = params[k] + RATE * (1 - step / (STEPS + 1)) * ahead
     r, c, q, b = params
     score = (r @ c) @ q.T + b
-    score -= score.max(axis=1, keepdims=True)
-    return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    p = (1 - BACKOFF) * p / p.sum(axis=1, keepdims=True) + BACKOFF * unigram / unigram.sum()
+    return np.log10(p).astype(np.float32)
 
 
 def _neighbours(n: int):
