@@ -33,7 +33,9 @@ LENGTH = 400
 GRAM = 64
 # bytes hashed and sorted at once; a longer text is one piece
 PIECE_BYTES = 1 << 16
-BLOCK_BYTES = 1 << 20
+# bytes of runs searched at once (or the runs of one anchor), and of texts cut at once
+BLOCK_BYTES = 1 << 19
+CUT_BYTES = 1 << 22
 # different runs of one anchor that go to one task
 ANCHOR_RUNS = 4096
 _PLACE_BITS = np.uint64(28)
@@ -135,20 +137,20 @@ def repeated_suffixes(t: np.ndarray, length: int) -> np.ndarray:
     bwt = t[order - 1]
     # step[i]: rank of the suffix one symbol longer to the left; back is its inverse
     back = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)
-    step[back] = np.arange(n)
+    step = np.empty(n, np.int32)
+    step[back] = np.arange(n, dtype=np.int32)
     same = bwt[back[1:]] == bwt[back[:-1]]
-    following, preceding = np.full(n, n), np.full(n, -1)
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     following[back[:-1][same]] = back[1:][same]
     preceding[back[1:][same]] = back[:-1][same]
     parted = np.zeros(n + 1, bool)
     parted[[0, n]] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
+    low, high = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     for value in range(length):
         sizes = high - low + 1
         total = int(sizes.sum())
         ends = np.cumsum(sizes)
-        i = np.arange(total) + np.repeat(low - ends + sizes, sizes)
+        i = np.arange(total, dtype=np.int32) + np.repeat((low - ends + sizes).astype(np.int32), sizes)
         # of each interval, the first and last suffix preceded by each symbol
         first = i[preceding[i] < np.repeat(low, sizes)]
         last = i[following[i] > np.repeat(high, sizes)]
@@ -260,14 +262,21 @@ def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(row, spans): per text with repeats, byte spans (some may touch or overlap) that are covered.
+    """(row, spans): per text with repeats, the sorted, disjoint byte spans that are covered.
 
     ``key`` is a whole number; rows of one key must hold one text; rows without a key are left out.
     """
     source = _numbered(docs, key, text).filter("row IS NOT NULL")
     kind = "row long, start long, n long, anchor long, digest binary"
     runs = freeze(source.filter(F.octet_length("text") >= length).mapInArrow(_runs(length), kind))
-    groups = runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n")).alias("at"))
+    # most anchors occur once: nothing is left to compare there
+    anchor_counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+    repeated = freeze(anchor_counts.filter("c > 1").select("anchor"))
+    runs = freeze(runs.join(broadcast_if_small(repeated), "anchor", "left_semi"))
+    # runs of one group hold the same bytes, so any of them can stand for all
+    groups = runs.groupBy("anchor", "digest").agg(
+        F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("row", "start", "n")]
+    )
     groups = freeze(groups)
     anchors = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # runs whose bytes occur again are repeated as a whole
@@ -276,8 +285,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         "row", F.array(F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end"))).alias("spans")
     )
     mixed = groups.join(anchors, "anchor").select(
-        F.col("at.row").alias("of"),
-        F.struct("anchor", "at.start", "at.n", (F.col("copies") == 1).alias("once"), (F.col("kinds") > ANCHOR_RUNS).alias("many")).alias("w"),
+        F.col("row").alias("of"),
+        F.struct("anchor", "start", "n", (F.col("copies") == 1).alias("once"), (F.col("kinds") > ANCHOR_RUNS).alias("many")).alias("w"),
     )
     few = _fetch(source, mixed.filter("NOT w.many"), length)
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -292,7 +301,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     every = shards[0]
     for part in shards[1:]:
         every = every.union(part)
-    return every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    gathered = every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def join_spans(frames):
+        for batch in frames:
+            out = [[{"start": a, "end": b} for a, b in disjoint(spans)] for spans in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], names=["row", "spans"])
+
+    return gathered.mapInArrow(join_spans, f"row long, spans {SPANS}")
 
 
 def _fetch(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -316,27 +332,28 @@ def disjoint(spans: list[dict[str, int]]) -> list[list[int]]:
 
 
 def _cut(frames):
-    """(key, text, spans) to the digest columns and the kept text."""
-    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in frames:
-        sizes, removed, counts, digests, kept_texts = [], [], [], [], []
-        for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            cuts = disjoint(spans or [])
-            left = b"".join(text[a:b] for a, b in _between(cuts, len(text)))
-            sizes.append(len(text))
-            removed.append(len(text) - len(left))
-            counts.append(len(cuts))
-            digests.append(hashlib.sha256(left).hexdigest())
-            # bytes of a character that is cut in two go as a whole
-            kept_texts.append(left.decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
-            names=names,
-        )
+    """(row, text, spans) to the digest columns."""
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for whole in frames:
+        for begin, end in batches(whole.column(1), CUT_BYTES):
+            batch = whole.slice(begin, end - begin)
+            sizes, removed, counts, digests = [], [], [], []
+            for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                kept, left = hashlib.sha256(), 0
+                for a, b in _between(spans or [], len(text)):
+                    kept.update(text[a:b])
+                    left += b - a
+                sizes.append(len(text))
+                removed.append(len(text) - left)
+                counts.append(len(spans or []))
+                digests.append(kept.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests, pa.string())], names=names
+            )
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row.
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else is removed, in all
     places where it occurs; strings are judged on the input. NULL and empty texts have no bytes.
@@ -346,7 +363,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = freeze(repeated_spans(docs, key, text, length)).select(F.col("row").alias("of"), "spans")
     joined = _numbered(docs, key, text).join(broadcast_if_small(spans), F.col("row") == F.col("of"), "left")
     out = joined.select("row", "text", "spans").mapInArrow(
-        _cut, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        _cut, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return out.withColumnRenamed("row", key)
 
@@ -361,18 +378,22 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     place = docs.columns.index(text)
 
     def run(frames):
-        for batch in frames:
-            columns = list(batch.columns)
-            values = [
-                None if text is None else b"".join(text[a:b] for a, b in _between(disjoint(spans or []), len(text))).decode("utf-8", "ignore")
-                for text, spans in zip(batch.column(place).cast(pa.binary()).to_pylist(), columns.pop().to_pylist(), strict=True)
-            ]
-            columns[place] = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        for whole in frames:
+            for begin, end in batches(whole.column(place), CUT_BYTES):
+                batch = whole.slice(begin, end - begin)
+                columns = list(batch.columns)
+                spans = columns.pop().to_pylist()
+                # texts without spans, NULL ones too, are passed on as they are
+                values = [
+                    text if not cuts else b"".join(text[a:b] for a, b in _between(cuts, len(text))).decode("utf-8", "ignore").encode()
+                    for text, cuts in zip(batch.column(place).cast(pa.binary()).to_pylist(), spans, strict=True)
+                ]
+                columns[place] = pa.array(values, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return joined.mapInArrow(run, docs.schema)
 
 
-def _between(cuts: list[list[int]], size: int) -> list[tuple[int, int]]:
-    """What is left of 0 to ``size`` around the cuts."""
-    return list(zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), size], strict=True))
+def _between(spans: list[dict[str, int]], size: int) -> list[tuple[int, int]]:
+    """What is left of 0 to ``size`` around disjoint spans in order."""
+    return list(zip([0, *(s["end"] for s in spans)], [*(s["start"] for s in spans), size], strict=True))
