@@ -104,7 +104,7 @@ def _score(shared):
                 add(key, None, 0, len(found) + 1, int((counts > 0).sum()) + (ended > 0), base, model)
                 for word, times in others.items():
                     add(key, word.decode("utf-8", "replace"), times, 0, 0, 0.0, 0.0)
-                if len(out[0]) > 200_000:
+                if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
                     out[:] = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
