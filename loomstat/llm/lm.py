@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.text import texts
-from loomstat.llm.words import pair_counts, tokens, word_counts
+from loomstat.llm.words import frequent, pair_counts, tokens, word_counts
 from loomstat.plans.scratch import freeze
 
 # words with a vector of their own; 0 is the class of all others, 1 the end (and start) of a text
@@ -25,7 +25,7 @@ STEPS = 120
 RATE = 0.02
 # share of the words' own distribution in every prediction
 BACKOFF = 0.1
-# words whose counts are broadcast; a fixed number, the counts of all others are joined
+# most words whose counts are broadcast; a fixed number, the counts of all others are joined
 FREQUENT = 131_072
 
 
@@ -75,8 +75,8 @@ def _score(shared):
     """Rows per text: one with the sums over frequent words, and one per other word with its number."""
 
     def run(frames):
-        numbers, frequent, table, total, words = shared.value
-        number, count = numbers.get, frequent.get
+        numbers, known, table, total, words = shared.value
+        number, count = numbers.get, known.get
         bottom = np.log10(total + words + 1)
         schema = pa.schema(
             [("key", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
@@ -96,7 +96,7 @@ def _score(shared):
                 others: dict[bytes, int] = {}
                 for k in np.flatnonzero(counts == 0).tolist():
                     others[found[k]] = others.get(found[k], 0) + 1
-                ended = frequent[b"\n"]
+                ended = known[b"\n"]
                 base = float((np.log10(counts[counts > 0] + 1) - bottom).sum() + np.log10(ended + 1) - bottom)
                 inside = counts[(counts > 0) & (ids == 0)]
                 model = float(near.sum(dtype=np.float64) + np.log10(inside + 1).sum())
@@ -127,19 +127,19 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     sizes = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = trained.count()
     total, distinct = sizes["n"] + ends, sizes["v"] + (ends > 0)
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = {r["word"].encode(): r["n"] for r in top} | {b"\n": ends}
-    numbers = {r["word"].encode(): k + 2 for k, r in enumerate(top[:VOCABULARY])}
+    top = frequent(counted, FREQUENT)
+    counts = {word.encode(): n for word, n in top} | {b"\n": ends}
+    numbers = {word.encode(): k + 2 for k, (word, _) in enumerate(top[:VOCABULARY])}
     n = VOCABULARY + 2
     rows = pair_counts(trained, spark.sparkContext.broadcast(numbers), _neighbours(n), n * n).toPandas()
     pairs = np.zeros(n * n, np.int64)
     pairs[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     table = train(pairs.reshape(n, n))
     # the share of a word inside the class of all others is its count plus one over the class's
-    known = sum(r["n"] for r in top[:VOCABULARY])
-    class_total = np.log10(sizes["n"] - known + max(sizes["v"] - VOCABULARY, 0) + 1)
+    known = sum(n for _, n in top[:VOCABULARY])
+    class_total = np.log10(sizes["n"] - known + sizes["v"] - len(numbers) + 1)
     table[:, 0] -= class_total
-    shared = spark.sparkContext.broadcast((numbers, frequent, table, total, distinct))
+    shared = spark.sparkContext.broadcast((numbers, counts, table, total, distinct))
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     scored = source.mapInArrow(
         _score(shared), "key long, word string, times long, n_tokens long, n_known long, base double, model double"

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.text import sample_below, texts
+from loomstat.llm.words import frequent
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
 
-# units (frequent words and shapes of all others) with a vector of their own
+# units (frequent words and shapes of all others) with a vector of their own, at most
 UNITS = 2048
 SIZE = 64
 ONES = 6  # non-zero entries of an index vector
@@ -198,8 +199,7 @@ def learn(
     spark = docs.sparkSession
     trained = docs.filter(training).select(F.col(text).alias("text"))
     counts = trained.mapInArrow(_unit_counts, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "unit").limit(UNITS - 1).collect()
-    names = [b""] + [bytes(r["unit"]) for r in top]
+    names = [b""] + [bytes(unit) for unit, _ in frequent(freeze(counts), UNITS - 1, "unit")]
     units = Units({u: k for k, u in enumerate(names) if k})
     index = index_vectors(names)
     shared = spark.sparkContext.broadcast((units, index))

@@ -44,6 +44,26 @@ def word_counts(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int, word: str = "word") -> list[tuple]:
+    """(word, n) of at most ``most`` frequent words, in falling order of n.
+
+    Words are taken by eighths of a power of two of their counts, so only a few hundred sums and the words
+    taken reach the driver; words of the eighth that would exceed ``most`` are not among them.
+    """
+    eighth = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("words")).collect()
+    cut, taken = None, 0
+    for r in sorted(sizes, key=lambda r: -r["e"]):
+        taken += r["words"]
+        if taken > most:
+            break
+        cut = r["e"]
+    if cut is None:
+        return []
+    rows = counts.filter(eighth >= cut).select(word, "n").collect()
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 def pair_counts(source: DataFrame, shared, pairs: Callable[[np.ndarray], np.ndarray], size: int) -> DataFrame:
     """(cell, n): how often each cell number below ``size`` is given by ``pairs`` of a text's word numbers.
 
