@@ -29,7 +29,10 @@ class BlockFilter:
         return np.linalg.matrix_power(self.step, samples // SHORT)
 
     def run(self, x: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Output and ending state; the latter counts for whole short blocks only."""
+        """Output and ending state; the latter counts for whole short blocks only.
+
+        Outputs before the first NaN or infinite sample do not depend on it; from there on they are NaN.
+        """
         count = -(-len(x) // SHORT)
         blocks = np.zeros((count, SHORT))
         blocks.reshape(-1)[: len(x)] = x
@@ -40,6 +43,10 @@ class BlockFilter:
         for i in range(count):
             states[i + 1] = self.step @ states[i] + loads[i]
         out = blocks @ self.through.T + states[:-1] @ self.observe.T
+        # a sample that is not finite must not reach back through the zeros of the product
+        for i in np.flatnonzero(~np.isfinite(blocks).all(axis=1)):
+            direct = [self.through[k, : k + 1] @ blocks[i, : k + 1] for k in range(SHORT)]
+            out[i] = np.array(direct) + self.observe @ states[i]
         return out.reshape(-1)[: len(x)], states[-1]
 
 

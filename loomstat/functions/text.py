@@ -18,7 +18,7 @@ def ordinal(n: Column | str) -> Column:
     """1 to '1st', 12 to '12th', 21 to '21st'; negative numbers give NULL."""
     n = _c(n)
     unit = F.pmod(n, F.lit(10))
-    teen = F.pmod(F.floor(n / 10), F.lit(10)) == 1
+    teen = F.pmod(n, F.lit(100)).between(10, 19)
     suffix = (
         F.when(teen, "th").when(unit == 1, "st").when(unit == 2, "nd").when(unit == 3, "rd").otherwise("th")
     )

@@ -112,7 +112,11 @@ def interval_extent(
         raise TypeError("start and end must both be times or both be numbers")
     s, e = q(start), q(end)
     bad = F.raise_error(F.lit("interval_extent: end before start"))
-    s = F.when(e < s, bad.cast(kinds[start])).otherwise(s)
+    if not times[0]:
+        s, e = nan_to_null(s.cast("double")), nan_to_null(e.cast("double"))
+    wrong = e < s
+    # in both bounds, so that selecting one of them does not skip the check
+    s, e = (F.when(wrong, bad.cast(kinds[c] if times[0] else "double")).otherwise(x) for c, x in ((start, s), (end, e)))
     if times[0]:
         if not order:
             raise ValueError("time intervals need an order")

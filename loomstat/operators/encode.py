@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import strict_double, try_double
+from loomstat.functions.text import nan_to_null, strict_double, try_double
 from loomstat.plans.keys import as_list, cols, q
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.positions import POS, positions
@@ -71,13 +71,13 @@ def decode_labels(df: DataFrame, encoders: DataFrame, columns: str | Sequence[st
 
 
 def impute_mean(df: DataFrame, columns: str | Sequence[str], marker: str = "?") -> DataFrame:
-    """Numbers with the marker replaced by the column mean of the other values.
+    """Numbers with the marker, NULL and NaN replaced by the column mean of the other values.
 
     Any other text that is not a number raises. One aggregate covers all columns, and its
     single row is joined back.
     """
     names = as_list(columns)
-    parsed = df.withColumns({n: strict_double(F.nullif(F.trim(q(n).cast("string")), F.lit(marker))) for n in names})
+    parsed = df.withColumns({n: nan_to_null(strict_double(F.nullif(F.trim(q(n).cast("string")), F.lit(marker)))) for n in names})
     means = parsed.agg(*[F.avg(q(n)).alias(f"__mean{i}") for i, n in enumerate(names)])
     filled = parsed.join(F.broadcast(means)).withColumns(
         {n: F.coalesce(q(n), F.col(f"__mean{i}")) for i, n in enumerate(names)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.calendar import ntz_to_micros
@@ -39,15 +39,19 @@ def align_series(a: DataFrame, b: DataFrame, label: str, value: str, order: str)
         )
     )
     twice = F.raise_error(F.concat(F.lit("label occurs twice: "), q(label).cast("string")))
-    existing = F.when((F.col("na") > 1) | (F.col("nb") > 1), twice.cast("boolean")).otherwise(
-        F.col("na") > 0
-    )
+    double = (F.col("na") > 1) | (F.col("nb") > 1)
+    kinds = dict(merged.dtypes)
+
+    def checked(column: Column, kind: str) -> Column:
+        """In every column, so that selecting some of them does not skip the check."""
+        return F.when(double, twice.cast(kind)).otherwise(column)
+
     return merged.select(
         q(label),
-        F.coalesce("va", F.lit(0)).alias("value_a"),
-        F.coalesce("vb", F.lit(0)).alias("value_b"),
-        existing.alias("is_existing"),
-        F.coalesce("oa", "ob").alias("position"),
+        checked(F.coalesce("va", F.lit(0)), kinds["va"]).alias("value_a"),
+        checked(F.coalesce("vb", F.lit(0)), kinds["vb"]).alias("value_b"),
+        checked(F.col("na") > 0, "boolean").alias("is_existing"),
+        checked(F.coalesce("oa", "ob"), kinds["oa"]).alias("position"),
     )
 
 
@@ -59,12 +63,12 @@ def align_many(samples: DataFrame, label: str, series: str, value: str, names: S
 
 def labels_not_in(a: DataFrame, b: DataFrame, label: str | Sequence[str]) -> DataFrame:
     """Rows of ``a`` whose label ``b`` does not have."""
-    return a.join(b.select(*cols(as_list(label))), as_list(label), "left_anti")
+    return a.join(b.select(*cols(as_list(label))).distinct(), as_list(label), "left_anti")
 
 
 def labels_in(a: DataFrame, b: DataFrame, label: str | Sequence[str]) -> DataFrame:
     """Rows of ``a`` whose label ``b`` has."""
-    return a.join(b.select(*cols(as_list(label))), as_list(label), "left_semi")
+    return a.join(b.select(*cols(as_list(label))).distinct(), as_list(label), "left_semi")
 
 
 def utc_candidates(df: DataFrame, ts: str, zone: str) -> DataFrame:

@@ -19,14 +19,18 @@ def sort_by(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 def order_by_list(df: DataFrame, index: str, positions: Sequence[int]) -> DataFrame:
     """Rows in the order in which ``positions`` lists their ``index`` value.
 
-    Every position from 0 to n - 1 must be listed once, and the frame must have that many
-    rows. Adds ``rank``.
+    Every position from 0 to n - 1 must be listed once, and the frame must have each of them
+    once as ``index``. Adds ``rank``.
     """
     n = len(positions)
     if sorted(positions) != list(range(n)):
         raise ValueError("positions must list 0 .. n-1 once each")
-    if df.count() != n:
+    i = q(index)
+    found = df.agg(F.count(F.lit(1)), F.count_distinct(i), F.count_if((i >= 0) & (i < n))).first()
+    if found[0] != n:
         raise ValueError("positions and rows differ in number")
+    if found[1] != n or found[2] != n:
+        raise ValueError("rows must have each index from 0 to n - 1 once")
     spark = df.sparkSession
     ranks = spark.createDataFrame([(p, r) for r, p in enumerate(positions)], "__p long, rank long")
     joined = df.join(broadcast_if_small(ranks), q(index) == F.col("__p")).drop("__p")

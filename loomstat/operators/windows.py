@@ -133,14 +133,20 @@ def waterfall(
     base: float | str = 0.0,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Segments (``x0``, ``x1``) of a running total from ``base``, their sign and label."""
+    """Segments (``x0``, ``x1``) of a running total from ``base``, their sign and label.
+
+    A missing delta (NULL or NaN) adds nothing: the total goes on behind it, and its own ``x0``, sign and
+    label are NULL. The total is NULL as long as no delta of the series is known.
+    """
     start = q(base) if isinstance(base, str) else F.lit(float(base))
-    out = running_total(df, as_list(by), as_list(order), delta, "__run", max_rows=max_rows)
     d = q(delta)
+    if dict(df.dtypes)[delta] in ("double", "float"):
+        df = df.withColumn(delta, nan_to_null(d))
+    out = running_total(df, as_list(by), as_list(order), delta, "__run", max_rows=max_rows)
     return (
         out.withColumn("x1", start + F.col("__run"))
         .withColumn("x0", F.col("x1") - d)
-        .withColumn("sign", F.when(d >= 0, "positive").otherwise("negative"))
+        .withColumn("sign", F.when(d >= 0, "positive").when(d < 0, "negative"))
         .withColumn("label", F.format_number(d, 2))
         .drop("__run")
     )

@@ -178,7 +178,7 @@ def hot_total(
     starts = sums.select(
         *cols(by),
         BLOCK,
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
+        F.sum("__sum").over(earlier).alias("__base"),
         F.sum("__sum").over(keyed(by)).alias("__all"),
     )
     inside = Window.partitionBy(*cols(by), BLOCK).orderBy(POS)
@@ -186,7 +186,9 @@ def hot_total(
     out = attach(
         placed.withColumn("__in", F.sum(v).over(inside)), broadcast_if_small(freeze(starts)), [*by, BLOCK]
     )
-    out = out.withColumn(cum, F.col("__base") + F.col("__in"))
+    # as in one window over the key: NULL until the first value, later NULLs add nothing
+    both = F.coalesce("__base", F.lit(0)) + F.coalesce("__in", F.lit(0))
+    out = out.withColumn(cum, F.when(F.col("__base").isNotNull() | F.col("__in").isNotNull(), both))
     if total:
         out = out.withColumn(total, F.col("__all"))
     return out.drop(POS, BLOCK, "__in", "__base", "__all")

@@ -12,12 +12,14 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and work tables.
 
     ``spark.checkpoint.dir`` (or a folder already set on the context) wins. Only a
-    session without either, such as a local test run, gets a temporary folder.
+    local session without either, such as a test run, gets a temporary folder; a cluster raises.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomstat-"))
     return configured or context.getCheckpointDir()
 

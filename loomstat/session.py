@@ -18,6 +18,8 @@ def get_spark(app: str = "loomstat", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # files of checkpoints go when their frames are released
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("_", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():

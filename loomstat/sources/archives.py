@@ -17,12 +17,15 @@ BATCH = 10_000
 
 def _rows(member, sep: str, encoding: str, width: int, header: bool) -> Iterator[list[str]]:
     lines = csv.reader(io.TextIOWrapper(member, encoding=encoding, newline=""), delimiter=sep)
+    first = True
     for number, fields in enumerate(lines):
         if not fields:
             continue
         if len(fields) != width:
             raise ValueError(f"expected {width} fields, got {len(fields)} in line {number + 1}")
-        if header and number == 0:
+        # the header is the first line that is not empty
+        if header and first:
+            first = False
             continue
         yield [f.strip() for f in fields]
 

@@ -34,15 +34,13 @@ def test_central_interval(spark, max_rows, values, x, want):
 
 
 def brute_interval(values, x):
+    """Widest interval after dropping as many values as the share allows, as evenly as can be."""
     v = sorted(values)
     n = len(v)
-    r = max(r for r in range(n) if (n - r) / n >= x)
-    h = r // 2
-    if r % 2 == 0:
-        return v[h], v[n - h - 1]
-    if v[h + 1] - v[h] < v[n - h - 1] - v[n - h - 2]:
-        return v[h + 1], v[n - h - 1]
-    return v[h], v[n - h - 2]
+    drops = [(low, high) for low in range(n) for high in range(n - low) if abs(low - high) <= 1 and (n - low - high) / n >= x]
+    most = max(map(sum, drops))
+    kept = [(v[low], v[n - 1 - high]) for low, high in drops if low + high == most]
+    return max(kept, key=lambda k: k[1] - k[0])
 
 
 @pytest.mark.parametrize("max_rows", [5, 1000])
@@ -135,14 +133,11 @@ def test_impute_and_detect(spark):
 
 
 def brute_common(data):
-    best = ""
-    if len(data) > 1:
-        first = data[0]
-        for i in range(len(first)):
-            for j in range(i + 1, len(first) + 1):
-                if j - i > len(best) and all(first[i:j] in d for d in data):
-                    best = first[i:j]
-    return best
+    """Longest string among the substrings of all; of equal ones, the first in the first text."""
+    if len(data) < 2:
+        return ""
+    parts = [{s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1)} for s in data]
+    return min(set.intersection(*parts), key=lambda c: (-len(c), data[0].index(c)), default="")
 
 
 def test_common_substring(spark):
