@@ -80,6 +80,23 @@ def w5(t: Tables):
     return out.select("event_id", r("x0", 2).alias("x0"), r("x1", 2).alias("x1"), "sign", "label")
 
 
+@query(
+    "w5_waterfall_holes",
+    """WITH d AS (SELECT event_id, user_id, ts, CASE WHEN event_type NOT IN ('error', 'signup') THEN value - 50 END AS delta FROM events),
+          t AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM d)
+       SELECT event_id, round(100 + run - delta, 2) + 0.0 AS x0, round(100 + run, 2) + 0.0 AS x1,
+              CASE WHEN delta >= 0 THEN 'positive' WHEN delta < 0 THEN 'negative' END AS sign,
+              CASE WHEN delta IS NOT NULL THEN format('{:,.2f}', delta) END AS label
+       FROM t""",
+)
+def w5h(t: Tables):
+    # blocks of a few rows, so that most keys are cut
+    missing = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_type") == "signup", F.lit(float("nan")))
+    steps = t.events.select("user_id", *ORDER, missing.otherwise(F.col("value") - 50).alias("delta"))
+    out = windows.waterfall(steps, "user_id", ORDER, "delta", 100.0, max_rows=20)
+    return out.select("event_id", r("x0", 2).alias("x0"), r("x1", 2).alias("x1"), "sign", "label")
+
+
 @query(
     "w6_unkeyed_avg",
     """SELECT event_id, CASE WHEN count(value) OVER w >= 9 THEN round(avg(value) OVER w, 6) END AS value_avg
@@ -170,6 +187,17 @@ def a6(t: Tables):
     return out.withColumn("value", r("value"))
 
 
+@query(
+    "a6_impute_mean_holes",
+    """SELECT event_id, round(coalesce(CASE WHEN event_type NOT IN ('error', 'signup') THEN value END,
+              (SELECT avg(value) FROM events WHERE event_type NOT IN ('error', 'signup'))), 6) AS value FROM events""",
+)
+def a6h(t: Tables):
+    marked = F.when(F.col("event_type") == "error", "?").when(F.col("event_type") == "signup", "NaN")
+    out = impute_mean(t.events.select("event_id", marked.otherwise(F.col("value").cast("string")).alias("value")), "value")
+    return out.withColumn("value", r("value"))
+
+
 LABELS = ["o_orderstatus", "o_orderpriority"]
 
 
@@ -254,6 +282,23 @@ def a11(t: Tables):
     return out.select("o_orderpriority", r("low", 4).alias("low"), r("high", 4).alias("high"))
 
 
+@query(
+    "a11_interval_extent_holes",
+    """WITH h AS (SELECT event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS a, CASE WHEN event_id % 5 <> 0 THEN value + 1 END AS b FROM events)
+       SELECT event_type, round(min(a) - 0.01 * (max(b) - min(a)), 4) AS low, round(max(b) + 0.01 * (max(b) - min(a)), 4) AS high
+       FROM h GROUP BY 1""",
+)
+def a11h(t: Tables):
+    # every row is there; some bounds are NULL or NaN
+    spans = t.events.select(
+        "event_type",
+        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("start"),
+        F.when(F.col("event_id") % 5 != 0, F.col("value") + 1).otherwise(F.lit(float("nan"))).alias("end"),
+    )
+    out = agg.interval_extent(spans, "event_type")
+    return out.select("event_type", r("low", 4).alias("low"), r("high", 4).alias("high"))
+
+
 @query(
     "a11_interval_extent_times",
     """WITH s AS (SELECT l_linestatus, l_shipdate AS a, l_shipdate + to_days(l_linenumber) AS b FROM lineitem)

@@ -269,6 +269,13 @@ def j5(t: Tables):
     return joins.labels_not_in(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("j5_labels_not_in_other", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def j5o(t: Tables):
+    return joins.labels_not_in(
+        t.orders.select("o_custkey", "o_orderkey"), t.supplier.select(F.col("s_suppkey").alias("o_custkey")), "o_custkey"
+    )
+
+
 @query("j5_labels_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j5i(t: Tables):
     large = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
