@@ -23,7 +23,7 @@ LENGTH_COST = 3.0
 # log score of one fallback byte; below that of any piece
 BYTE_SCORE = -25.0
 # segmented words that a task remembers
-MEMORY = 400_000
+MEMORY = 200_000
 # a unit is a run of markers and what follows: no piece has a marker after another character
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 
