@@ -108,6 +108,26 @@ def w6(t: Tables):
     return out.select("event_id", r("value_avg").alias("value_avg"))
 
 
+@query(
+    "w1_moving_avg_long",
+    """SELECT event_id, event_type, CASE WHEN count(value) OVER w >= 1000 THEN round(avg(value) OVER w, 6) END AS value_avg
+       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
+)
+def w1_long(t: Tables):
+    out = windows.moving_avg(t.events.select("event_type", *ORDER, "value"), "event_type", ORDER, "value", 1000)
+    return out.select("event_id", "event_type", r("value_avg").alias("value_avg"))
+
+
+@query(
+    "w3_moving_std_long",
+    """SELECT event_id, CASE WHEN count(value) OVER w >= 1000 THEN round(stddev_samp(value) OVER w, 5) END AS value_std
+       FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
+)
+def w3_long(t: Tables):
+    out = windows.moving_std(t.events.select(*ORDER, "value"), None, ORDER, "value", 1000, max_rows=2000)
+    return out.select("event_id", r("value_std", 5).alias("value_std"))
+
+
 @query("a1_total_range", "SELECT event_type, round(max(value) - min(value), 6) AS total_range FROM events GROUP BY 1")
 def a1(t: Tables):
     return agg.total_range(t.events, "event_type", "value").withColumn("total_range", r("total_range"))
@@ -176,6 +196,20 @@ def a5(t: Tables):
     return common_substring(t.part, ["p_brand", "p_size"], "p_name", "p_partkey")
 
 
+@query(
+    "a5_common_substring_long",
+    """WITH f AS (SELECT item_id % 20 AS k, arg_min(text, item_id) AS first, count(*) AS n FROM benchmark GROUP BY 1),
+       s AS (SELECT k, n, i, j, substring(first, i::INT, j::INT) AS x
+             FROM (SELECT *, unnest(range(1, length(first) + 1)) AS i FROM f WHERE n > 1), range(1, 31) AS g(j) WHERE i + j - 1 <= length(first)),
+       c AS (SELECT s.k, i, j, x FROM s JOIN benchmark b ON s.k = b.item_id % 20 GROUP BY ALL HAVING bool_and(contains(b.text, x))),
+       m AS (SELECT k, arg_max(x, (j, -i)) AS x FROM c GROUP BY 1)
+       SELECT f.k, coalesce(x, '') AS common FROM f LEFT JOIN m USING (k)""",
+)
+def a5_long(t: Tables):
+    items = t.benchmark.select("item_id", (F.col("item_id") % 20).alias("k"), "text")
+    return common_substring(items, "k", "text", "item_id")
+
+
 @query(
     "a6_impute_mean",
     """SELECT event_id, round(coalesce(CASE WHEN event_type <> 'error' THEN value END,

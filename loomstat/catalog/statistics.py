@@ -120,11 +120,52 @@ def t6(t: Tables):
     return shuffled.join(exact, "y").select("y", "n_a", "n_b", _near(F.col("p_value"), F.col("p"), 0.05).alias("p_agrees"))
 
 
-@query("t6_permutation_two_sided")
+@query(
+    "t6_permutation_two_sided",
+    f"WITH {GROUPS} SELECT y, na AS n_a, nb AS n_b, 1 AS p_agrees FROM g",
+)
 def t6b(t: Tables):
-    return resampling.permutation_test(
-        _by_year(t), "y", "o_orderstatus", "o_totalprice", "F", "O", n=2000, seed=6, two_sided=True
+    """Within four standard errors of 10,000 shuffles of the p-value by the permuted difference's own variance."""
+    args = ("y", "o_orderstatus", "o_totalprice", "F", "O")
+    shuffled = resampling.permutation_test(_by_year(t), *args, n=10_000, seed=6, two_sided=True)
+    v, in_a, in_b = F.col("o_totalprice"), F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
+    moments = _by_year(t).filter(in_a | in_b).groupBy("y").agg(
+        F.var_pop(v).alias("var"), F.avg(F.when(in_a, v)).alias("ma"), F.avg(F.when(in_b, v)).alias("mb")
+    )
+    n = F.col("n_a") + F.col("n_b")
+    sd = F.sqrt(F.col("var") * n * n / (F.col("n_a") * F.col("n_b") * (n - 1)))
+    p = 2 * t_sf(F.abs(F.col("ma") - F.col("mb")) / sd, F.lit(1e9))
+    slack = 4 * F.sqrt(p * (1 - p) / 10_000) + 0.01
+    return shuffled.join(moments, "y").select("y", "n_a", "n_b", _near(F.col("p_value"), p, slack).alias("p_agrees"))
+
+
+@query(
+    "t8_ab_report_agrees",
+    """SELECT metric, method, 1 AS agrees FROM (VALUES ('mean_a', 'bootstrap'), ('mean_b', 'bootstrap'), ('difference', 'bootstrap'),
+         ('mean_a', 't'), ('mean_b', 't'), ('difference', 't'), ('a_greater_b', 't'), ('a_greater_b', 'permutation'), ('a_differs_b', 'permutation'))
+         AS rows(metric, method)""",
+)
+def t8_agrees(t: Tables):
+    """Every row of the report against closed forms: means, their variances and normal tails."""
+    n = 10_000
+    report = resampling.ab_report(t.events, None, "event_type", "value", "view", "click", n=n, seed=8)
+    v, in_a, in_b = F.col("value"), F.col("event_type") == "view", F.col("event_type") == "click"
+    m = t.events.filter(in_a | in_b).agg(
+        F.count_if(in_a).alias("na"), F.count_if(in_b).alias("nb"), F.var_pop(v).alias("var"),
+        F.avg(F.when(in_a, v)).alias("ma"), F.avg(F.when(in_b, v)).alias("mb"),
+        F.var_pop(F.when(in_a, v)).alias("va"), F.var_pop(F.when(in_b, v)).alias("vb"),
     )
+    rows = report.join(F.broadcast(m))
+    metric, all_n, diff = F.col("metric"), F.col("na") + F.col("nb"), F.col("ma") - F.col("mb")
+    value = F.when(metric == "mean_a", F.col("ma")).when(metric == "mean_b", F.col("mb")).otherwise(diff)
+    a, b = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    sd = F.sqrt(F.when(metric == "mean_a", a).when(metric == "mean_b", b).otherwise(a + b))
+    # four standard errors of a 2.5 % point of n draws are 0.11 deviations, and some for skewness
+    interval = F.greatest(F.abs(F.col("lower") - (value - 1.96 * sd)), F.abs(F.col("upper") - (value + 1.96 * sd))) < 0.15 * sd
+    z = diff / F.sqrt(F.col("var") * all_n * all_n / (F.col("na") * F.col("nb") * (all_n - 1)))
+    p = F.when(metric == "a_differs_b", 2 * t_sf(F.abs(z), F.lit(1e9))).otherwise(t_sf(z, F.lit(1e9)))
+    tested = F.abs(F.col("p_value") - p) < 4 * F.sqrt(p * (1 - p) / n) + 0.01
+    return rows.select("metric", "method", F.coalesce(interval, tested).cast("int").alias("agrees"))
 
 
 @query("t8_ab_report")
@@ -208,6 +249,23 @@ def c1(t: Tables):
     return partitions_of(_lines(t), "items", 3, 7).select("l_orderkey", _shown("blocks").alias("blocks"))
 
 
+@query(
+    "c3_score_partitions",
+    """WITH p AS (SELECT l_shipmode, l_returnflag AS c, count(l_quantity) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
+       -- the two blocks of each split: the one with the smallest category, and its complement
+       i AS (SELECT l_shipmode, list_sort(list(c)) AS items FROM p GROUP BY 1),
+       m AS (SELECT *, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM i),
+       b AS (SELECT l_shipmode, [items[j] FOR j IN range(1, len(items) + 1) IF (mask >> (j - 1)) & 1 = 1] AS block FROM m)
+       SELECT l_shipmode, array_to_string(block, ',') AS categories, sum(n)::BIGINT AS n, round(sum(s), 2) AS total
+       FROM b JOIN p USING (l_shipmode) WHERE list_contains(block, c) GROUP BY 1, 2""",
+)
+def c3(t: Tables):
+    scored = score_partitions(t.lineitem, "l_shipmode", "l_returnflag", "l_quantity", 2, 10)
+    return scored.select(
+        "l_shipmode", F.array_join("categories", ",").alias("categories"), "n", F.round("total", 2).alias("total")
+    )
+
+
 @query(
     "c2_ordered_partitions",
     """WITH i AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS items FROM lineitem GROUP BY 1),

@@ -192,7 +192,23 @@ def j1(t: Tables):
        FROM lineitem GROUP BY l_linenumber""",
 )
 def j1m(t: Tables):
-    return joins.align_many(t.lineitem, "l_linenumber", "l_returnflag", "l_quantity", ["A", "N", "R"])
+    sums = t.lineitem.groupBy("l_linenumber", "l_returnflag").agg(F.sum("l_quantity").alias("quantity"))
+    return joins.align_many(sums, "l_linenumber", "l_returnflag", "quantity", ["A", "N", "R"])
+
+
+@query(
+    "j1_align_many_ordered",
+    """WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n, min(o_orderkey) AS place FROM orders GROUP BY ALL)
+       SELECT o_custkey, coalesce(max(n) FILTER (o_orderstatus = 'F'), 0) AS "F", coalesce(max(n) FILTER (o_orderstatus = 'O'), 0) AS "O",
+              coalesce(max(n) FILTER (o_orderstatus = 'P'), 0) AS "P", count(*) FILTER (o_orderstatus = 'F') > 0 AS is_existing,
+              coalesce(max(place) FILTER (o_orderstatus = 'F'), max(place) FILTER (o_orderstatus = 'O'), max(place) FILTER (o_orderstatus = 'P')) AS position
+       FROM c WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1""",
+)
+def j1o(t: Tables):
+    counts = t.orders.groupBy("o_custkey", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("place")
+    )
+    return joins.align_many(counts, "o_custkey", "o_orderstatus", "n", ["F", "O", "P"], order="place")
 
 
 ZONES = {"view": "PST", "click": "JST", "purchase": "CST", "signup": "US/Pacific", "error": "EST"}

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
-# generators accept populations below this size; larger ones use the normal limit, whose
-# relative error is below 1e-4 there
-_EXACT_POPULATION = 10**9
+# NumPy's own generator accepts populations below this size
+_NUMPY_POPULATION = 10**9
+# chunks with at most this many items per value are written out item by item. Both ways follow the same
+# law exactly; which one a chunk takes depends on its own counts only
 _EXPAND = 8
 
 
@@ -25,13 +26,35 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, k: np.ndarray)
     """Number of good items among k drawn without replacement, per replicate."""
     if good == 0 or bad == 0:
         return np.zeros_like(k) if good == 0 else k
-    if good < _EXACT_POPULATION and bad < _EXACT_POPULATION:
+    if good < _NUMPY_POPULATION and bad < _NUMPY_POPULATION:
         return rng.hypergeometric(good, bad, k)
-    n, x = float(good) + float(bad), k.astype(float)
-    share = good / n
-    spread = np.sqrt(np.maximum(x * share * (1 - share) * (n - x) / (n - 1), 0))
-    drawn = np.rint(rng.normal(x * share, spread)).astype(np.int64)
-    return np.clip(drawn, np.maximum(0, k - bad), np.minimum(k, good))
+    return _by_coins(rng, good, bad, k)
+
+
+def _by_coins(rng: np.random.Generator, good: int, bad: int, k: np.ndarray) -> np.ndarray:
+    """The same law for populations of any size.
+
+    Every item is taken by an independent coin of chance k / n: two binomial numbers. Whatever number comes
+    out, all sets of that size are equally likely. The surplus is then put back, or the shortage
+    taken, by the same step on what was taken or left; it shrinks to about its root each time.
+    """
+    taken = np.zeros(len(k), dtype=np.int64)
+    sign = np.ones(len(k), dtype=np.int64)
+    good, bad, k = (np.array(np.broadcast_to(x, len(k)), dtype=np.int64) for x in (good, bad, k))
+    todo = np.flatnonzero(k)
+    while len(todo):
+        g, b, n = good[todo], bad[todo], k[todo]
+        chance = np.minimum(n / (g.astype(float) + b), 1.0)
+        from_good, from_bad = rng.binomial(g, chance), rng.binomial(b, chance)
+        taken[todo] += sign[todo] * from_good
+        short = n - from_good - from_bad
+        over = short < 0
+        good[todo] = np.where(over, from_good, g - from_good)
+        bad[todo] = np.where(over, from_bad, b - from_bad)
+        sign[todo] = np.where(over, -sign[todo], sign[todo])
+        k[todo] = np.abs(short)
+        todo = todo[short != 0]
+    return taken
 
 
 def draws_of_chunk(

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.plans.keys import q
+from loomstat.plans.keys import as_list, cols, keyed, q
 from loomstat.plans.positions import expand
 
 _MAX = (1 << 63) - 1
@@ -153,6 +153,37 @@ def ordered_partitions(spark: SparkSession, items: Sequence, m: int) -> DataFram
     return _of_list(spark, items, m, True)
 
 
+def score_partitions(
+    df: DataFrame, by: str | Sequence[str] | None, category: str, value: str, m: int, max_items: int
+) -> DataFrame:
+    """Every grouping of a key's categories into m blocks with the totals of each block.
+
+    Columns ``by``, ``rank`` (number of the partition), ``block`` (0-based), ``categories`` and, over the rows
+    of the block's categories, ``n`` (values) and ``total`` (their sum; NULL without values). Rows without a category are left out.
+    The table is reduced to one row per category first, so the partitions multiply that small result only;
+    a key with more than ``max_items`` categories is an error, one with fewer than m gives no rows.
+    """
+    by = as_list(by)
+    per = df.filter(q(category).isNotNull()).groupBy(*cols(by), q(category).alias("__c")).agg(
+        F.count(q(value)).alias("__n"), F.sum(q(value)).alias("__t")
+    )
+    # one more than allowed is enough for the error, so that no array grows beyond it
+    number = F.row_number().over(keyed(by).orderBy("__c"))
+    few = per.withColumn("__i", number).filter(F.col("__i") <= max_items + 1)
+    items = few.groupBy(*cols(by)).agg(F.array_sort(F.collect_list(F.struct("__c", "__n", "__t"))).alias("__items"))
+    rows = partitions_of(items, "__items", m, max_items, name="__blocks")
+    rows = rows.select(*cols(by), "rank", F.posexplode("__blocks").alias("block", "__b"))
+    total = F.aggregate(
+        F.filter(F.col("__b.__t"), lambda x: x.isNotNull()), F.lit(0).cast(dict(per.dtypes)["__t"]),
+        lambda a, x: (a + x).cast(dict(per.dtypes)["__t"]),
+    )
+    n = F.aggregate(F.col("__b.__n"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select(
+        *cols(by), "rank", "block", F.col("__b.__c").alias("categories"), n.alias("n"),
+        F.when(n > 0, total).alias("total"),
+    )
+
+
 def _of_list(spark: SparkSession, items: Sequence, m: int, ordered: bool) -> DataFrame:
     one = spark.range(1).select(F.array(*[F.lit(x) for x in items]).alias("items"))
     return partitions_of(one, "items", m, max(len(items), 1), ordered).select("rank", "blocks")

@@ -55,10 +55,40 @@ def align_series(a: DataFrame, b: DataFrame, label: str, value: str, order: str)
     )
 
 
-def align_many(samples: DataFrame, label: str, series: str, value: str, names: Sequence[str]) -> DataFrame:
-    """Any number of named series on the union of their labels, missing values as 0."""
-    wide = samples.groupBy(q(label)).pivot(series, list(names)).agg(F.sum(q(value)))
-    return wide.fillna(0, subset=list(names))
+def align_many(
+    samples: DataFrame, label: str, series: str, value: str, names: Sequence[str], order: str | None = None
+) -> DataFrame:
+    """Any number of named series on the union of their labels, missing values as 0.
+
+    A label that occurs twice in one series is an error. With ``order`` the column ``position`` is added,
+    and ``is_existing`` for labels that the first series has; as in :func:`align_series` labels of later
+    series come first: sort by ``is_existing``, then ``position`` (that of the earliest series with the label).
+    """
+    twice = F.raise_error(F.concat(F.lit("label occurs twice: "), q(label).cast("string")))
+    counts = [F.count_if(q(series) == F.lit(n)) for n in names]
+    picked = [F.max(F.when(q(series) == F.lit(n), q(value))) for n in names]
+    found = samples.filter(q(series).isin(list(names))).groupBy(q(label))
+    places = []
+    if order is not None:
+        places = [F.max(F.when(q(series) == F.lit(n), q(order))).alias(f"__o{i}") for i, n in enumerate(names)]
+    wide = found.agg(
+        F.greatest(*counts, F.lit(0)).alias("__most"),
+        (counts[0] > 0).alias("__old"),
+        *[v.alias(f"__v{i}") for i, v in enumerate(picked)],
+        *places,
+    )
+    kinds = dict(wide.dtypes)
+
+    def checked(column: Column, kind: str) -> Column:
+        return F.when(F.col("__most") > 1, twice.cast(kind)).otherwise(column)
+
+    out = [
+        checked(F.coalesce(f"__v{i}", F.lit(0)), kinds[f"__v{i}"]).alias(n) for i, n in enumerate(names)
+    ]
+    if order is not None:
+        first = F.coalesce(*[F.col(f"__o{i}") for i in range(len(names))])
+        out += [checked(F.col("__old"), "boolean").alias("is_existing"), checked(first, kinds["__o0"]).alias("position")]
+    return wide.select(q(label), *out)
 
 
 def labels_not_in(a: DataFrame, b: DataFrame, label: str | Sequence[str]) -> DataFrame:

@@ -68,6 +68,30 @@ def _nearest_within(points: DataFrame, places: DataFrame, km: float) -> DataFram
     return pairs.groupBy("__lon", "__lat").agg(F.min(F.when(distance <= km, hit)).alias("__best"))
 
 
+# places that a grid cell of the first round may hold, and the finest grid that is tried for it
+CROWD = 64
+FINEST_KM = 0.001
+
+
+def _first_radius(places: DataFrame, max_km: float) -> float:
+    """The widest grid in which no cell holds more than ``CROWD`` places, in steps of four.
+
+    All grids are counted in one job; one number for each reaches the driver.
+    """
+    sizes = [max_km / 16]
+    while sizes[-1] / 4 > FINEST_KM:
+        sizes.append(sizes[-1] / 4)
+    cells = []
+    for i, km in enumerate(sizes):
+        size = km * 1.0001 / KM_PER_DEGREE
+        row = _lat_cell(F.col("__plat"), size)
+        cell = _lon_cell(F.col("__plon"), _lon_cells_of_row(row, size))
+        cells.append(F.struct(F.lit(i).alias("i"), row.alias("r"), cell.alias("c")))
+    counted = places.select(F.inline(F.array(*cells))).groupBy("i", "r", "c").agg(F.count(F.lit(1)).alias("n"))
+    most = {r["i"]: r["n"] for r in counted.groupBy("i").agg(F.max("n").alias("n")).collect()}
+    return next((km for i, km in enumerate(sizes) if most.get(i, 0) <= CROWD), sizes[-1])
+
+
 def nearest_place(
     points: DataFrame,
     places: DataFrame,
@@ -84,7 +108,7 @@ def nearest_place(
 
     Points farther than ``max_km`` from every place get NULL; ties go to the smaller place
     id. Equal coordinates are searched once. The search starts on a fine grid of
-    ``first_km`` cells (a sixteenth of ``max_km`` unless given), where even a crowded area has few places per cell, and repeats with
+    ``first_km`` cells (unless given, at most a sixteenth of ``max_km`` and so fine that no cell holds many places), and repeats with
     four times the radius for the coordinates that are still open, up to ``max_km``. A hit
     within the radius of a round is the nearest place overall, so no later round can change it.
     """
@@ -96,7 +120,12 @@ def nearest_place(
         q(place_lon).cast("double").alias("__plon"),
         q(place_lat).cast("double").alias("__plat"),
     ).filter(F.col("__plon").isNotNull() & F.col("__plat").between(-90, 90))
-    radius = min(first_km or max_km / 16, max_km)
+    # of places in one spot only the smallest id can win
+    table = table.groupBy("__plon", "__plat").agg(
+        F.min("__place").alias("__p"), F.min_by("__label", "__place").alias("__label")
+    ).withColumnRenamed("__p", "__place")
+    table = freeze(table)
+    radius = min(first_km or _first_radius(table, max_km), max_km)
     found, todo = None, spots
     while True:
         tried = _nearest_within(todo, table, radius)

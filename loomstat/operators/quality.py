@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions.text import contains_ci_expr, strict_double, try_double
 from loomstat.plans.keys import as_list, cols, q
 from loomstat.plans.limits import broadcast_if_small
-from loomstat.plans.positions import windowed
+from loomstat.plans.scratch import freeze
 
 
 def split_xy(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
@@ -95,20 +95,20 @@ def contains_ci(df: DataFrame, column: str, term: str) -> DataFrame:
     return df.filter(contains_ci_expr(column, term))
 
 
-def _repeated(
-    df: DataFrame, text: str, usable: Column, order: Sequence[str], max_rows: int | None
-) -> DataFrame:
+def _repeated(df: DataFrame, text: str, usable: Column, order: Sequence[str]) -> DataFrame:
     """Add ``__seen``: an earlier usable row has the same text.
 
-    A frame of one row back is enough, so a text that fills a third of the table is cut
-    into blocks like any other long series.
+    The first place of every text that occurs more than once is an aggregate, combined map-side, and is
+    looked up by each row. While those texts are few the table itself does not move.
     """
-    marked = df.withColumn("__usable", usable)
-
-    def make(spec):
-        return {"__seen": F.col("__usable") & F.lag("__usable", 1, False).over(spec)}
-
-    return windowed(marked, [text, "__usable"], order, make, before=1, max_rows=max_rows)
+    marked = df.withColumn("__usable", usable).withColumn("__place", F.struct(*cols(order)))
+    first = marked.filter("__usable").groupBy(q(text).alias("__again")).agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__times")
+    )
+    first = freeze(first.filter("__times > 1").drop("__times"))
+    joined = marked.join(broadcast_if_small(first), q(text) == F.col("__again"), "left")
+    later = F.coalesce(F.col("__place") > F.col("__first"), F.lit(False))
+    return joined.withColumn("__seen", F.col("__usable") & later).drop("__again", "__first", "__place")
 
 
 def _flag_existing(df: DataFrame, text: str, existing: DataFrame | None) -> DataFrame:
@@ -129,12 +129,12 @@ def validate_entries(
     exact_len: int | None = None,
     placeholder: str | None = None,
     existing: DataFrame | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Judge text entries in the given order; ``reason`` is NULL for accepted ones.
 
     Reasons: empty, placeholder, too_long, wrong_length, present. An entry is present when
-    ``existing`` has it or an earlier accepted entry equals it.
+    ``existing`` has it or an earlier accepted entry equals it. ``order`` must be unique: of rows that
+    share a text and a place none counts as earlier.
     """
     text = F.coalesce(F.upper(q(column)) if upper else q(column), F.lit(""))
     reason = F.when(text == "", "empty")
@@ -149,7 +149,7 @@ def validate_entries(
     if not unique:
         return out
     out = _flag_existing(out, column, existing)
-    out = _repeated(out, column, F.col("reason").isNull(), as_list(order), max_rows)
+    out = _repeated(out, column, F.col("reason").isNull(), as_list(order))
     present = F.col("reason").isNull() & (F.col("__old") | F.col("__seen"))
     return out.withColumn("reason", F.when(present, "present").otherwise(F.col("reason"))).drop(
         "__old", "__seen", "__usable"
@@ -164,11 +164,10 @@ def normalize_dates(
     out_format: str = "dd MMMM yyyy",
     unique: bool = True,
     existing: DataFrame | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Dates in one text format; the first of the listed formats that fits is used.
 
-    ``reason`` is NULL for accepted rows, else unparseable or present.
+    ``reason`` is NULL for accepted rows, else unparseable or present (as in :func:`validate_entries`).
     """
     parsed = F.coalesce(*[F.try_to_timestamp(q(column), F.lit(f)) for f in formats])
     out = df.withColumn(column, F.date_format(parsed, out_format))
@@ -176,46 +175,61 @@ def normalize_dates(
     if not unique:
         return out
     out = _flag_existing(out, column, existing)
-    out = _repeated(out, column, F.col("reason").isNull(), as_list(order), max_rows)
+    out = _repeated(out, column, F.col("reason").isNull(), as_list(order))
     present = F.col("reason").isNull() & (F.col("__old") | F.col("__seen"))
     return out.withColumn("reason", F.when(present, "present").otherwise(F.col("reason"))).drop(
         "__old", "__seen", "__usable"
     )
 
 
+# rows that are ordered to find the exact end of a sample
+_ORDERED = 10_000
+
+
 def sample_exact(df: DataFrame, n: int, seed: int, key: str | Sequence[str]) -> DataFrame:
     """Exactly n rows without replacement, the same for any partitioning.
 
-    Rows are ranked by a hash of the unique ``key``. A large sample does not sort: rows
-    clearly below the n-th hash are kept by a filter, and only the narrow band around it,
-    a few times sqrt(n) rows, is ordered to find the exact cut.
+    Rows are ranked by a hash of the unique ``key`` and taken by a filter on the hash. The n-th hash is
+    found by counting the rows per leading bits, twelve bits more with each pass, until one range holds
+    it among at most ten thousand rows; only those are ordered. Rows that share their hash because
+    they repeat a key are interchangeable: any of them complete the sample.
     """
     names = as_list(key)
     hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *cols(names)))
-    total = df.count()
-    if n > total:
-        raise ValueError(f"cannot take {n} of {total} rows")
-    ordered = [F.col("__h"), *cols(names)]
-    if n <= 100_000:
-        return hashed.orderBy(*ordered).limit(n).drop("__h")
-    slack = 6 * n**0.5
-    while True:
-        low, high = (_hash_at((n + s) / total) for s in (-slack, slack))
-        counts = hashed.agg(
-            F.count_if(F.col("__h") < low).alias("low"), F.count_if(F.col("__h") < high).alias("high")
-        ).first()
-        if counts["low"] <= n <= counts["high"]:
-            break
-        slack *= 4
-    sure = hashed.filter(F.col("__h") < low)
-    band = hashed.filter((F.col("__h") >= low) & (F.col("__h") < high))
-    return sure.unionByName(band.orderBy(*ordered).limit(n - counts["low"])).drop("__h")
-
-
-def _hash_at(share: float) -> int:
-    """Signed 64-bit hash below which the given share of hashes lies."""
-    span = 1 << 64
-    return min(max(int(share * span), 0), span - 1) - (span >> 1)
+    before, inside, shift = 0, None, 64
+    while shift and (inside is None or inside > _ORDERED):
+        rows = hashed if inside is None else hashed.filter(F.shiftright("__h", shift) == prefix)
+        shift = max(shift - 12, 0)
+        ranges = rows.groupBy(F.shiftright("__h", shift).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        found = sorted(ranges.collect())
+        if inside is None and n > sum(r["n"] for r in found):
+            raise ValueError(f"cannot take {n} of {sum(r['n'] for r in found)} rows")
+        prefix, inside = 0, 0
+        for r in found:
+            prefix, inside = r["p"], r["n"]
+            if before + inside >= n:
+                break
+            before += inside
+    if n == 0 or not found:
+        return df.limit(0)
+    at = F.shiftright("__h", shift)
+    sure, edge, wanted = hashed.filter(at < prefix), hashed.filter(at == prefix), n - before
+    if inside <= _ORDERED:
+        edge = edge.orderBy("__h", *cols(names)).limit(wanted)
+    else:
+        edge = _any_rows(edge, wanted)
+    return sure.unionByName(edge).drop("__h")
+
+
+def _any_rows(df: DataFrame, n: int) -> DataFrame:
+    """n of the rows, counted per partition so that none moves."""
+    placed = freeze(df.withColumn("__mid", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("__mid", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    joined = placed.join(broadcast_if_small(starts), F.shiftright("__mid", 33) == F.col("__part"))
+    offset = F.col("__mid").bitwiseAND((1 << 33) - 1)
+    return joined.filter(F.col("__start") + offset < n).select(*cols(df.columns))
 
 
 def table_view(

@@ -1,9 +1,9 @@
 """Bootstrap intervals and permutation p-values for samples of any size.
 
 The data is collapsed to (value, count) per key, which is exact and often tiny. The
-distinct values are hashed into chunks of a few thousand, and each (chunk, slice of
+distinct values are hashed into chunks of a few thousand, and each (chunk, slices of
 replicates) is one unit of work, so that neither a key nor a replicate is tied to one
-task. See ``loomstat.functions.draws`` for why the chunks add up to one exact draw. Only
+task. A slice has its own seed, so results do not depend on how many slices a unit takes. See ``loomstat.functions.draws`` for why the chunks add up to one exact draw. Only
 sums per replicate are shuffled afterwards.
 """
 
@@ -26,8 +26,8 @@ from loomstat.plans.scratch import freeze
 
 CHUNK_VALUES = 4096
 SLICE = 250
-# a key with this many chunks is parallel enough without cutting its replicates as well
-MANY_CHUNKS = 256
+# units of work planned per core; a unit takes several slices when there are more
+UNITS_PER_CORE = 16
 WITH_REPLACEMENT, WITHOUT = "bootstrap", "permutation"
 
 
@@ -67,14 +67,15 @@ def _problems(sketch: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
 
 
 def _problem_sizes(items: DataFrame, keys: Sequence[str], chunk_values: int) -> DataFrame:
-    """Per draw problem: number of chunks, number of draws, and its 64-bit name."""
+    """Per draw problem: number of chunks, number of draws, its name and the seed of its draws."""
     sizes = freeze(
         items.groupBy(*cols(keys)).agg(
             F.ceil(F.count(F.lit(1)) / chunk_values).alias("chunks"), F.sum("ca").alias("total")
         )
     )
-    # the key travels as a 64-bit number, which also seeds its draws
-    return broadcast_if_small(sizes.withColumn("problem", F.xxhash64(*cols(keys))))
+    # keys of any type travel through Python as one text, long enough that no two share it
+    name = F.sha2(F.to_json(F.struct(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)])), 256)
+    return broadcast_if_small(sizes.withColumn("problem", name).withColumn("seed", F.xxhash64(*cols(keys))))
 
 
 def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> tuple[DataFrame, int]:
@@ -86,7 +87,7 @@ def _chunks(items: DataFrame, keys: Sequence[str], sizes: DataFrame) -> tuple[Da
     pairs = F.array_sort(F.collect_list(F.struct("v", "c")))
     rows = placed.groupBy(*cols(at)).agg(
         pairs.alias("__pairs"), F.sum("c").alias("w"), F.max("chunks").alias("chunks"), F.max("total").alias("total"),
-        F.max("problem").alias("problem"),
+        F.max("problem").alias("problem"), F.max("seed").alias("seed"),
     )
     rows = rows.withColumn("values", F.col("__pairs.v")).withColumn("counts", F.col("__pairs.c")).drop("__pairs")
     largest, number = (x or 0 for x in sizes.agg(F.max("chunks"), F.sum("chunks")).first())
@@ -119,17 +120,20 @@ def _draw(kind: str, seed: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done: dict[tuple[int, int], np.ndarray] = {}
+            done: dict[tuple[str, int], np.ndarray] = {}
             for row in batch.itertuples(index=False):
-                identity = (seed, int(replace), row.problem)
-                k = draws_of_chunk(
-                    identity, row.chunk, row.first, row.left, row.right, row.total, row.size, replace
-                )
-                rng = generator(*identity, 2, row.chunk, row.first)
-                sums = sums_of_chunk(rng, np.asarray(row.values), np.asarray(row.counts), k, replace)
-                # chunks of one problem in one batch are added up before the shuffle
-                at = (row.problem, row.first)
-                done[at] = done[at] + sums if at in done else np.asarray(sums, dtype=float)
+                identity = (seed, int(replace), row.seed)
+                values, counts = np.asarray(row.values), np.asarray(row.counts)
+                for first in range(row.first, row.first + row.size, SLICE):
+                    size = min(SLICE, row.first + row.size - first)
+                    k = draws_of_chunk(
+                        identity, row.chunk, first, row.left, row.right, row.total, size, replace
+                    )
+                    rng = generator(*identity, 2, row.chunk, first)
+                    sums = sums_of_chunk(rng, values, counts, k, replace)
+                    # chunks of one problem in one batch are added up before the shuffle
+                    at = (row.problem, first)
+                    done[at] = done[at] + sums if at in done else np.asarray(sums, dtype=float)
             yield pd.DataFrame(
                 {"problem": [p for p, _ in done], "first": [f for _, f in done], "sums": list(done.values())}
             )
@@ -152,14 +156,18 @@ def _replicates(
     items = _problems(sketch, by, kind)
     sizes = _problem_sizes(items, keys, chunk_values)
     chunks, number = _chunks(items, keys, sizes)
-    step = F.when(F.col("chunks") >= MANY_CHUNKS, n).otherwise(SLICE)
+    cores = sketch.sparkSession.sparkContext.defaultParallelism
+    slices = -(-n // SLICE)
+    # values are copied once per unit
+    together = max(1, min(slices, number * slices // (UNITS_PER_CORE * cores)))
+    step = SLICE * together
     units = chunks.select(
-        "problem", "chunk", "total", "values", "counts", "left", "right", step.alias("step"),
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1), step)).alias("first"),
+        "problem", "seed", "chunk", "total", "values", "counts", "left", "right",
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))).alias("first"),
     )
-    units = units.withColumn("size", F.least(F.col("step"), n - F.col("first"))).drop("step")
-    units = units.repartition(_width(sketch, number * -(-n // SLICE)), "problem", "chunk", "first")
-    drawn = units.mapInPandas(_draw(kind, seed), "problem long, first int, sums array<double>")
+    units = units.withColumn("size", F.least(F.lit(step), n - F.col("first")))
+    units = units.repartition(_width(sketch, number * -(-slices // together)), "problem", "chunk", "first")
+    drawn = units.mapInPandas(_draw(kind, seed), "problem string, first int, sums array<double>")
     sums = (
         drawn.select("problem", "first", F.posexplode("sums").alias("at", "x"))
         .groupBy("problem", (F.col("first") + F.col("at")).alias("replicate"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstat.plans.keys import as_list, attach, cols, q
 from loomstat.plans.limits import broadcast_if_small
+from loomstat.plans.scratch import freeze
 
 
 def _reach(first: Column, other: Column) -> Column:
@@ -54,17 +55,15 @@ def common_substring(
     heads = rows.groupBy(*cols(by)).agg(
         F.min_by(q(column), key).alias("__first"), F.count(F.lit(1)).alias("__n")
     )
+    heads = broadcast_if_small(freeze(heads))
     texts = rows.select(*cols(by), q(column).alias("__text")).distinct()
-    paired = attach(texts, broadcast_if_small(heads), by)
-    usable = paired.filter((F.col("__n") > 1) & (F.length("__first") > 0))
-    starts = usable.select(
-        *cols(by), "__first", F.posexplode(_reach(F.col("__first"), F.col("__text"))).alias("__at", "__len")
-    )
-    shared = starts.groupBy(*cols(by), "__first", "__at").agg(F.min("__len").alias("__len"))
+    usable = attach(texts, heads, by).filter((F.col("__n") > 1) & (F.length("__first") > 0))
+    # the first string stays out of the grouping keys: it would travel once per start
+    starts = usable.select(*cols(by), F.posexplode(_reach(F.col("__first"), F.col("__text"))).alias("__at", "__len"))
+    shared = starts.groupBy(*cols(by), "__at").agg(F.min("__len").alias("__len"))
     best = shared.groupBy(*cols(by)).agg(
-        F.max_by(F.struct("__first", "__at", "__len"), F.struct("__len", -F.col("__at"))).alias("__b")
+        F.max_by(F.struct("__at", "__len"), F.struct("__len", -F.col("__at"))).alias("__b")
     )
-    text = F.substr(F.col("__b.__first"), F.col("__b.__at") + 1, F.col("__b.__len"))
-    found = best.select(*cols(by), text.alias("__common"))
-    out = attach(heads.select(*cols(by)), found, by, "left") if by else found
-    return out.select(*cols(by), F.coalesce("__common", F.lit("")).alias("common"))
+    out = attach(heads, best, by, "left")
+    text = F.substr(F.col("__first"), F.col("__b.__at") + 1, F.col("__b.__len"))
+    return out.select(*cols(by), F.coalesce(text, F.lit("")).alias("common"))

@@ -13,6 +13,7 @@ from loomstat.plans.limits import broadcast_if_small, max_group_rows
 from loomstat.plans.positions import (
     BLOCK,
     POS,
+    over_blocks,
     range_positions,
     running_total,
     split_hot,
@@ -21,6 +22,72 @@ from loomstat.plans.positions import (
 )
 
 
+# frames up to this many rows are summed anew for each row; longer ones are put together from two parts
+SHORT = 64
+
+
+def _moments(value: Column, spec: WindowSpec) -> Column:
+    """Number, mean and sum of squared deviations over a frame that only grows."""
+    frame = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.count(value).over(frame)
+    return F.struct(
+        n.alias("n"), F.avg(value).over(frame).alias("mean"), (F.var_pop(value).over(frame) * n).alias("m2")
+    )
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two parts together; either may be NULL or without values."""
+    n = a["n"] + b["n"]
+    shift = b["mean"] - a["mean"]
+    both = F.struct(
+        n.alias("n"), (a["mean"] + shift * b["n"] / n).alias("mean"),
+        (a["m2"] + b["m2"] + shift * shift * a["n"] * b["n"] / n).alias("m2"),
+    )
+    return F.when(F.coalesce(a["n"], F.lit(0)) == 0, b).when(F.coalesce(b["n"], F.lit(0)) == 0, a).otherwise(both)
+
+
+def _parts(rows: DataFrame, by: Sequence[str], names: Sequence[str], k: int) -> DataFrame:
+    """Moments from the start of each aligned block of k rows to the row, and from the row to its end."""
+    block = F.floor(F.col(POS) / k)
+    ahead = Window.partitionBy(*cols(by), block).orderBy(POS)
+    behind = Window.partitionBy(*cols(by), block).orderBy(F.col(POS).desc())
+    added = {}
+    for i, name in enumerate(names):
+        value = nan_to_null(q(name).cast("double"))
+        added[f"__p{i}"], added[f"__s{i}"] = _moments(value, ahead), _moments(value, behind)
+    return rows.withColumns(added)
+
+
+def _long_rolling(df, by, order, names, k, result, suffix, max_rows) -> DataFrame:
+    """Rolling moments at a cost that does not depend on k.
+
+    A window of k rows is the end of one block of k rows and the start of the next. Both grow row by row,
+    and nothing is subtracted, so no precision is lost.
+    """
+    limit = max_rows or max_group_rows(df.sparkSession)
+
+    def make(spec: WindowSpec) -> Mapping[str, Column]:
+        out = {}
+        whole = F.col(POS) % k == k - 1
+        for i, name in enumerate(names):
+            start, end = F.col(f"__p{i}"), F.lag(f"__s{i}", k - 1).over(spec)
+            m = F.when(whole, start).otherwise(_merged(end, start))
+            out[f"{name}_{suffix}"] = F.when((F.col(POS) >= k - 1) & (m["n"] >= k), result(m))
+        return out
+
+    split = split_hot(df, by, limit)
+    cold = hot = None
+    if split.cold is not None:
+        numbering = keyed(by).orderBy(*cols(order))
+        rows = split.cold.withColumn(POS, F.row_number().over(numbering).cast("long") - 1)
+        cold = _parts(rows, by, names, k).withColumns(dict(make(keyed(by).orderBy(POS))))
+    if split.hot is not None:
+        rows = range_positions(split.hot, by, order, split.hot_rows, limit)
+        hot = over_blocks(_parts(rows, by, names, k), by, make, k - 1, 0, limit)
+    helpers = [f"__{side}{i}" for i in range(len(names)) for side in "ps"]
+    return union([cold, hot]).drop(POS, *helpers)
+
+
 def _rolling(
     df: DataFrame,
     by: str | Sequence[str] | None,
@@ -28,12 +95,16 @@ def _rolling(
     columns: str | Sequence[str],
     k: int,
     function: Callable[[Column], Column],
+    result: Callable[[Column], Column],
     suffix: str,
     max_rows: int | None,
 ) -> DataFrame:
+    """``function`` aggregates a short frame; ``result`` reads the same off the moments of a long one."""
     if k < 1:
         raise ValueError("the window needs at least one row")
     names = as_list(columns)
+    if k > SHORT:
+        return _long_rolling(df, as_list(by), as_list(order), names, k, result, suffix, max_rows)
 
     def make(spec: WindowSpec) -> Mapping[str, Column]:
         frame = spec.rowsBetween(-(k - 1), 0)
@@ -52,17 +123,19 @@ def moving_avg(df, by, order, columns, k, max_rows=None) -> DataFrame:
 
     Adds ``<column>_avg`` for each column. ``by`` may be empty: one series of any length.
     """
-    return _rolling(df, by, order, columns, k, F.avg, "avg", max_rows)
+    return _rolling(df, by, order, columns, k, F.avg, lambda m: m["mean"], "avg", max_rows)
 
 
 def moving_sum(df, by, order, columns, k, max_rows=None) -> DataFrame:
     """Trailing sum of k rows, as :func:`moving_avg`; adds ``<column>_sum``."""
-    return _rolling(df, by, order, columns, k, F.sum, "sum", max_rows)
+    return _rolling(df, by, order, columns, k, F.sum, lambda m: m["mean"] * m["n"], "sum", max_rows)
 
 
 def moving_std(df, by, order, columns, k, max_rows=None) -> DataFrame:
     """Trailing sample deviation of k rows; adds ``<column>_std``, NULL for k = 1."""
-    return _rolling(df, by, order, columns, k, F.stddev_samp, "std", max_rows)
+    return _rolling(
+        df, by, order, columns, k, F.stddev_samp, lambda m: F.sqrt(m["m2"] / (m["n"] - 1)), "std", max_rows
+    )
 
 
 def _runs(rows: DataFrame, within: Sequence[str], flag: str) -> DataFrame:

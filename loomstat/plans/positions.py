@@ -132,27 +132,31 @@ def windowed(
     if split.cold is not None:
         cold = split.cold.withColumns(dict(make(keyed(by).orderBy(*cols(order)))))
     if split.hot is not None:
-        size = max(limit, before + 1, after + 1)
         rows = range_positions(split.hot, by, order, split.hot_rows, limit)
-        at = F.pmod(POS, F.lit(size))
-        block = F.floor(F.col(POS) / size).cast("long")
-        targets = F.array_compact(
-            F.array(
-                block,
-                F.when(at >= size - before, block + 1),
-                F.when((at < after) & (block > 0), block - 1),
-            )
-        )
-        copies = rows.withColumn(OWN, block).withColumn(BLOCK, F.explode(targets))
-        spec = Window.partitionBy(*cols(by), BLOCK).orderBy(POS)
-        hot = (
-            copies.withColumns(dict(make(spec)))
-            .filter(F.col(BLOCK) == F.col(OWN))
-            .drop(POS, BLOCK, OWN)
-        )
+        hot = over_blocks(rows, by, make, before, after, limit).drop(POS)
     return union([cold, hot])
 
 
+def over_blocks(
+    rows: DataFrame, by: Sequence[str], make: Callable[[WindowSpec], Mapping[str, Column]],
+    before: int, after: int, limit: int,
+) -> DataFrame:
+    """As :func:`windowed`, on rows that carry ``__pos``: blocks with copies of their neighbours."""
+    size = max(limit, before + 1, after + 1)
+    at = F.pmod(POS, F.lit(size))
+    block = F.floor(F.col(POS) / size).cast("long")
+    targets = F.array_compact(
+        F.array(
+            block,
+            F.when(at >= size - before, block + 1),
+            F.when((at < after) & (block > 0), block - 1),
+        )
+    )
+    copies = rows.withColumn(OWN, block).withColumn(BLOCK, F.explode(targets))
+    spec = Window.partitionBy(*cols(by), BLOCK).orderBy(POS)
+    return copies.withColumns(dict(make(spec))).filter(F.col(BLOCK) == F.col(OWN)).drop(BLOCK, OWN)
+
+
 def cold_total(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, cum: str, total: str | None
 ) -> DataFrame:

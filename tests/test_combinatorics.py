@@ -4,7 +4,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.operators.combinatorics import completions, ordered_partitions, partitions_of, set_partitions
+from loomstat.operators.combinatorics import (
+    completions,
+    ordered_partitions,
+    partitions_of,
+    score_partitions,
+    set_partitions,
+)
 
 
 def stirling(n, m):
@@ -52,3 +58,22 @@ def test_large_numbers_decode(spark):
     assert out.select(F.to_json("blocks")).distinct().count() == stirling(12, 4)
     with pytest.raises(ValueError):
         set_partitions(spark, list(range(60)), 12)
+
+
+def test_score_partitions(spark):
+    df = spark.createDataFrame(
+        [("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 5.0), ("k", "c", None), ("k", None, 9.0), ("one", "a", 1.0)],
+        "k string, c string, v double",
+    )
+    rows = score_partitions(df, "k", "c", "v", 2, 3).collect()
+    got = {}
+    for r in rows:
+        assert r.k == "k"
+        got.setdefault(r["rank"], []).append((tuple(r.categories), r.n, r.total))
+    want = [
+        [(("a",), 2, 3.0), (("b", "c"), 1, 5.0)], [(("a", "b"), 3, 8.0), (("c",), 0, None)], [(("a", "c"), 2, 3.0), (("b",), 1, 5.0)]
+    ]
+    assert sorted(sorted(x) for x in got.values()) == sorted(want)
+    assert score_partitions(df.limit(0), None, "c", "v", 2, 3).count() == 0
+    with pytest.raises(Exception, match="more than 2 items"):
+        score_partitions(df, "k", "c", "v", 2, 2).collect()

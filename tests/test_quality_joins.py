@@ -44,14 +44,14 @@ def test_numbers(spark):
     assert quality.drop_missing(nan, "v").count() == 1
 
 
-@pytest.mark.parametrize("max_rows", [2, 100])
-def test_validate_entries(spark, max_rows):
+@pytest.mark.parametrize("broadcast_rows", ["0", "1000"])
+def test_validate_entries(spark, broadcast_rows):
+    spark.conf.set("spark.loomstat.broadcastRows", broadcast_rows)
     words = ["a", "", "A", "enter", "toolong", "bb", "a", "old", "bb", None]
     df = spark.createDataFrame(list(enumerate(words)), "i int, t string")
     old = spark.createDataFrame([("OLD",)], "t string")
-    out = quality.validate_entries(
-        df, "t", "i", upper=True, max_len=5, placeholder="ENTER", existing=old, max_rows=max_rows
-    )
+    out = quality.validate_entries(df, "t", "i", upper=True, max_len=5, placeholder="ENTER", existing=old)
+    spark.conf.unset("spark.loomstat.broadcastRows")
     got = [r.reason for r in out.orderBy("i").collect()]
     assert got == [None, "empty", "present", "placeholder", "too_long", None, "present", "present", "present", "empty"]
     free = quality.validate_entries(df, "t", "i", unique=False, exact_len=1).orderBy("i").collect()
@@ -67,7 +67,22 @@ def test_normalize_dates(spark):
     assert [r.reason for r in out] == [None, "present", "unparseable", None]
 
 
-def test_sample_exact(spark, monkeypatch):
+def test_repeats_are_looked_up_without_moving_the_table(spark):
+    df = spark.range(2000).select("id", F.concat(F.lit("2020-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("d"))
+    out = quality.normalize_dates(df, "d", "id", ["yyyy-MM-dd"])
+    text = plan_of(out)
+    assert "hashpartitioning" not in text and "rangepartitioning" not in text
+    assert out.filter("reason is null").agg(F.max("id"), F.count("*")).first()[:] == (27, 28)
+
+
+def test_sample_of_repeated_keys(spark):
+    one = spark.range(0, 50_000, 1, 8).select((F.col("id") % 2).alias("k"), F.lit("x").alias("v"))
+    for n in (1, 20_000, 30_001, 50_000):
+        assert quality.sample_exact(one, n, 3, "k").count() == n
+    assert quality.sample_exact(one, 0, 3, "k").count() == 0
+
+
+def test_sample_exact(spark):
     df = spark.range(300_000)
     small = quality.sample_exact(df, 50, 7, "id")
     assert "TakeOrdered" in plan_of(small)
@@ -123,6 +138,12 @@ def test_align(spark):
     assert joins.labels_not_in(a, b, "l").count() == 1 and joins.labels_in(a, b, "l").count() == 1
     many = joins.align_many(ordering.stack_samples({"a": a, "b": b}), "l", "sample", "v", ["a", "b"])
     assert {tuple(r) for r in many.collect()} == {("p", 1, 0), ("q", 2, 5), ("z", 0, 6), ("y", 0, 7)}
+    named = ordering.stack_samples({"a": a, "b": b})
+    placed = joins.align_many(named, "l", "sample", "v", ["a", "b"], order="o").orderBy("is_existing", "position")
+    assert [r.l for r in placed.collect()] == ["z", "y", "p", "q"]
+    for name in ("a", "b", "position", "is_existing"):
+        with pytest.raises(Exception, match="label occurs twice"):
+            joins.align_many(named.union(named), "l", "sample", "v", ["a", "b"], order="o").select(name).collect()
 
 
 def test_time_zones(spark):
@@ -162,6 +183,24 @@ def test_utc_equals_pytz(spark):
         assert r.datetime_utc == want, (r.t, r.z)
 
 
+def test_crowded_places_start_on_a_fine_grid(spark):
+    from loomstat.operators import places as module
+
+    crowd = spark.range(10_000).select(
+        F.col("id").alias("place_id"), F.lit("C").alias("city"), F.lit("S").alias("state"),
+        (7 + F.pmod(F.xxhash64("id"), F.lit(10_000)) / 1e6).alias("lon"), (50 + F.pmod(F.hash("id"), F.lit(10_000)) / 1e6).alias("lat"),
+    )
+    table = crowd.select(F.col("lon").alias("__plon"), F.col("lat").alias("__plat"))
+    radius = module._first_radius(table, 1500)
+    size = radius * 1.0001 / module.KM_PER_DEGREE
+    spots = table.select(F.col("__plon").alias("__lon"), F.col("__plat").alias("__lat"))
+    near = module._with_near_cells(table, size)
+    # at most nine cells of CROWD places for each point, instead of all 10,000
+    assert module._with_cell(spots, size).join(near, ["__row", "__cell"]).count() <= 10_000 * 9 * module.CROWD
+    out = nearest_place(crowd.select("place_id", "lon", "lat").withColumnRenamed("place_id", "id"), crowd, 1500)
+    assert out.filter("km < 1e-9").count() == 10_000
+
+
 def haversine(a, b):
     p, q = map(math.radians, (a[1], b[1]))
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2

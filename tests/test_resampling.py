@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.functions.draws import draws_of_chunk, generator, hypergeometric, sums_of_chunk
+from loomstat.functions.draws import _by_coins, draws_of_chunk, generator, hypergeometric, sums_of_chunk
 from loomstat.operators.resampling import ab_report, diff_ci_bootstrap, mean_ci_bootstrap, permutation_test
 from tests.test_inference_t import conversions, heights
 
@@ -101,7 +103,7 @@ def test_sums_inside_a_chunk(replace, copies):
     assert sums[3:].var() == pytest.approx(spread, rel=0.12)
 
 
-def test_large_population_limit():
+def test_large_population():
     k = np.full(3000, 10**9)
     drawn = hypergeometric(generator(1), 3 * 10**9, 10**9, k)
     spread = 1e9 * 0.75 * 0.25 * 3 / 4
@@ -109,10 +111,27 @@ def test_large_population_limit():
     assert drawn.var() == pytest.approx(spread, rel=0.12)
 
 
-def test_many_chunks_take_whole_replicates(spark, monkeypatch):
+def test_coins_follow_the_law_of_single_draws():
+    good, bad, k = 30, 20, 17
+    drawn = _by_coins(generator(3), good, bad, np.full(40_000, k))
+    ways = np.array([math.comb(good, x) * math.comb(bad, k - x) for x in range(k + 1)], float)
+    got = np.bincount(drawn, minlength=k + 1)
+    want = ways / ways.sum() * 40_000
+    assert ((got - want) ** 2 / np.maximum(want, 5)).sum() < 45
+    for a, b, n in ((5, 0, 3), (0, 5, 3), (4, 3, 7), (4, 3, 0)):
+        x = _by_coins(generator(4), a, b, np.full(50, n))
+        assert (x <= min(a, n)).all() and (n - x <= b).all()
+
+
+@pytest.mark.parametrize("chunk_values", [4, 4096])
+def test_results_do_not_depend_on_units(spark, monkeypatch, chunk_values):
     from loomstat.operators import resampling
 
-    monkeypatch.setattr(resampling, "MANY_CHUNKS", 3)
     df = heights(spark)
-    p = permutation_test(df, None, "g", "v", "m", "w", n=3000, seed=2, chunk_values=4).first().p_value
-    assert p == pytest.approx(0.392, abs=0.03)
+    seen = set()
+    for units in (1, 1000):
+        monkeypatch.setattr(resampling, "UNITS_PER_CORE", units)
+        seen.add(permutation_test(df, None, "g", "v", "m", "w", n=3100, seed=2, chunk_values=chunk_values).first().p_value)
+    assert len(seen) == 1
+    assert seen.pop() == pytest.approx(0.392, abs=0.03)
+

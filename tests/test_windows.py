@@ -119,3 +119,21 @@ def test_waterfall(spark, max_rows):
     keyed = df.withColumn("k", F.col("i") % 2)
     rows = waterfall(keyed, "k", "i", "v", 0.0, max_rows).orderBy("i").collect()
     assert [(r.x0, r.x1) for r in rows] == [(0, 5), (0, -2), (5, 9), (-2, -9)]
+
+
+@pytest.mark.parametrize("max_rows, by", [(50, "k"), (400, None), (100_000, "k")])
+def test_long_windows_equal_pandas(spark, max_rows, by):
+    k = 100
+    rng = np.random.default_rng(k)
+    n = 1500
+    frame = pd.DataFrame({"k": np.where(np.arange(n) % 5 < 4, "hot", "cold"), "i": np.arange(n), "v": rng.normal(1e6, 1, n)})
+    frame.loc[[3, 700, 701, 1300], "v"] = np.nan
+    df = spark.createDataFrame(frame).repartition(7)
+    out = moving_std(moving_avg(df, by, "i", "v", k, max_rows), by, "i", "v", k, max_rows)
+    assert out.columns == ["k", "i", "v", "v_avg", "v_std"]
+    got = out.toPandas().sort_values("i").reset_index(drop=True)
+    for name, want in (("v_avg", np.mean), ("v_std", lambda x: np.std(x, ddof=1))):
+        parts = [g["v"].rolling(k) for _, g in (frame.groupby("k") if by else [(0, frame)])]
+        series = pd.concat([p.apply(want, raw=True) for p in parts]).sort_index()
+        np.testing.assert_allclose(got[name].astype(float), series, rtol=1e-9)
+        assert series.notna().any()
