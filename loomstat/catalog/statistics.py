@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstat.catalog.registry import Tables, query, r
+from loomstat.functions.student_t import t_sf
 from loomstat.operators import inference, resampling
-from loomstat.operators.combinatorics import partitions_of
+from loomstat.operators.combinatorics import partitions_of, score_partitions
 from loomstat.operators.signals import iir_filter, welch_psd
 
 # the 97.5 % point by the published expansion of t around the normal quantile
@@ -251,18 +252,18 @@ def c1(t: Tables):
 
 @query(
     "c3_score_partitions",
-    """WITH p AS (SELECT l_shipmode, l_returnflag AS c, count(l_quantity) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
-       -- the two blocks of each split: the one with the smallest category, and its complement
-       i AS (SELECT l_shipmode, list_sort(list(c)) AS items FROM p GROUP BY 1),
+    """WITH p AS (SELECT l_suppkey, l_linenumber AS c, count(l_quantity) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
+       -- every proper subset is a block of exactly one split in two
+       i AS (SELECT l_suppkey, list_sort(list(c)) AS items FROM p GROUP BY 1),
        m AS (SELECT *, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM i),
-       b AS (SELECT l_shipmode, [items[j] FOR j IN range(1, len(items) + 1) IF (mask >> (j - 1)) & 1 = 1] AS block FROM m)
-       SELECT l_shipmode, array_to_string(block, ',') AS categories, sum(n)::BIGINT AS n, round(sum(s), 2) AS total
-       FROM b JOIN p USING (l_shipmode) WHERE list_contains(block, c) GROUP BY 1, 2""",
+       b AS (SELECT l_suppkey, [items[j] FOR j IN range(1, len(items) + 1) IF (mask >> (j - 1)) & 1 = 1] AS block FROM m)
+       SELECT l_suppkey, array_to_string(block, ',') AS categories, sum(n)::BIGINT AS n, round(sum(s), 2) AS total
+       FROM b JOIN p USING (l_suppkey) WHERE list_contains(block, c) GROUP BY 1, 2""",
 )
 def c3(t: Tables):
-    scored = score_partitions(t.lineitem, "l_shipmode", "l_returnflag", "l_quantity", 2, 10)
+    scored = score_partitions(t.lineitem, "l_suppkey", "l_linenumber", "l_quantity", 2, 7)
     return scored.select(
-        "l_shipmode", F.array_join("categories", ",").alias("categories"), "n", F.round("total", 2).alias("total")
+        "l_suppkey", F.array_join(F.col("categories").cast("array<string>"), ",").alias("categories"), "n", F.round("total", 2).alias("total")
     )
 
 
