@@ -82,12 +82,13 @@ def p7(t: Tables):
                             WHEN length(entry) > 11 THEN 'too_long' END AS r0 FROM e),
        k AS (SELECT *, row_number() OVER (PARTITION BY entry, r0 ORDER BY p_partkey) AS nth FROM j)
        SELECT p_partkey, entry, CASE WHEN r0 IS NOT NULL THEN r0
-              WHEN nth > 1 OR entry IN (SELECT upper(p_name) FROM part WHERE p_retailprice < 900.3) THEN 'present' END AS reason
+              WHEN nth > 1 OR entry IN (SELECT upper(c_name) FROM customer UNION ALL SELECT upper(p_name) || ' X' FROM part UNION ALL SELECT upper(min(p_name)) FROM part) THEN 'present' END AS reason
        FROM k""",
 )
 def p8(t: Tables):
     entries = t.part.select("p_partkey", F.col("p_name").alias("entry"))
-    known = t.part.filter("p_retailprice < 900.3").select(F.upper("p_name").alias("entry"))
+    known = t.customer.select(F.upper("c_name").alias("entry"))
+    known = known.union(t.part.select(F.upper(F.concat("p_name", F.lit(" X"))))).union(t.part.agg(F.upper(F.min("p_name"))))
     return quality.validate_entries(
         entries, "entry", "p_partkey", upper=True, max_len=11, placeholder="RED WIDGET", existing=known
     )
@@ -292,7 +293,8 @@ def j5o(t: Tables):
     )
 
 
-@query("j5_labels_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+@query("j5_labels_in", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
 def j5i(t: Tables):
-    large = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.labels_in(t.customer.select("c_custkey"), large, "c_custkey")
+    return joins.labels_in(
+        t.orders.select("o_custkey", "o_orderkey"), t.supplier.select(F.col("s_suppkey").alias("o_custkey")), "o_custkey"
+    )
