@@ -4,7 +4,8 @@ A conversation becomes one string: ``<|turn|>role``, a line feed, the flattened
 a line feed per turn. A visitor maps each part by its kind: text stays, images, audio and documents
 become ordered placeholders ``<|image:3|>`` whose references and expanded sizes are listed beside the
 string. Control strings inside texts and roles are escaped: ``N`` backslashes after their first
-character become ``N + 1``, which reading back undoes; nothing else in a text changes.
+character become ``N + 1``, which reading back undoes; nothing else in a text changes. Neighbouring text
+parts are escaped as one, since a control string may reach over their border.
 """
 
 from __future__ import annotations
@@ -56,10 +57,15 @@ def text_part(text: Column) -> Column:
     return F.array(part)
 
 
-def _visit(part: Column, number: Column) -> Column:
-    """What a part adds to the string."""
-    shown = F.when(part.kind.isin(*MEDIA), F.concat(F.lit("<|"), part.kind, F.lit(":"), number.cast("string"), F.lit("|>")))
-    return shown.otherwise(escape(F.coalesce(part.text, F.lit(""))))
+def _visit(state: Column, part: Column) -> Column:
+    """Adds a part: ``done`` is escaped, ``open`` the text since the last placeholder, ``n`` the next number."""
+    media = F.coalesce(part.kind.isin(*MEDIA), F.lit(False))
+    shown = F.concat(F.lit("<|"), part.kind, F.lit(":"), state.n.cast("string"), F.lit("|>"))
+    return F.struct(
+        F.when(media, F.concat(state.done, escape(state.open), shown)).otherwise(state.done).alias("done"),
+        F.when(media, F.lit("")).otherwise(F.concat(state.open, F.coalesce(part.text, F.lit("")))).alias("open"),
+        (state.n + media.cast("int")).alias("n"),
+    )
 
 
 def _expanded(part: Column) -> Column:
@@ -104,13 +110,9 @@ def format_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     def flat(t: Column, k: Column) -> Column:
         before = F.when(F.size("media") == 0, F.lit(0)).otherwise(F.size(F.filter("media", lambda m: m.turn < k)))
-        pieces = F.transform(
-            t.parts,
-            lambda p, i: _visit(
-                p, before + F.when(p.kind.isin(*MEDIA), F.size(F.filter(F.slice(t.parts, 1, i), lambda x: x.kind.isin(*MEDIA)))).otherwise(0)
-            ),
-        )
-        return F.concat(F.lit(TURN), escape_role(t.role), F.lit("\n"), F.array_join(pieces, ""), F.lit(END + "\n"))
+        start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), before.alias("n"))
+        body = F.aggregate(t.parts, start, _visit, lambda state: F.concat(state.done, escape(state.open)))
+        return F.concat(F.lit(TURN), escape_role(t.role), F.lit("\n"), body, F.lit(END + "\n"))
 
     attachments = F.transform(
         "media",

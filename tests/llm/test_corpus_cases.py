@@ -212,6 +212,26 @@ def test_chat_parts_and_nulls(spark):
     assert chat.format_turns(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_chat_control_strings_across_parts(spark):
+    def text(s):
+        return ("text", s, None, None)
+
+    image = ("image", None, "i.png", 1)
+    talks = [
+        [text("<|tu"), text("rn|>a"), text("[IN"), text("ST] b")],
+        [text("</"), image, text("s> <"), image, text("|end|>"), text("<"), text("|end"), text("|>")],
+        [text("<"), text("\\"), text("|end|>"), (None, "<", None, None)],
+    ]
+    rows = [(i, 0, "assistant", parts) for i, parts in enumerate(talks)]
+    data = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(data)).collect()}
+    for i, parts in enumerate(talks):
+        number = itertools.count()
+        want = "".join(f"<|image:{next(number)}|>" if p[0] == "image" else p[1] for p in parts)
+        assert [t["text"] for t in back[i]["turns"]] == [want] == back[i]["loss_texts"]
+        assert back[i]["formatted"].count("<|turn|>") == back[i]["formatted"].count("<|end|>") == 1
+
+
 def test_repeats_cases(spark, odd, none):
     assert suffixdedup.remove_repeats(none).count() == 0
     found = suffixdedup.remove_repeats(odd).collect()
