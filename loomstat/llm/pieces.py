@@ -22,8 +22,9 @@ _MARK = MARK.encode()
 LENGTH_COST = 3.0
 # log score of one fallback byte; below that of any piece
 BYTE_SCORE = -25.0
-# segmented words that a task remembers
+# segmented words that a task remembers, and the characters of the longest one
 MEMORY = 200_000
+REMEMBERED_CHARS = 32
 # a unit is a run of markers and what follows: no piece has a marker after another character
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 
@@ -159,9 +160,11 @@ class Vocabulary:
                 found = memory.get(unit)
                 if found is None:
                     found = self.best(unit)
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[unit] = found
+                    # long units (texts without spaces) rarely come again and would fill the memory
+                    if len(unit) <= REMEMBERED_CHARS:
+                        if len(memory) >= MEMORY:
+                            memory.clear()
+                        memory[unit] = found
                 out += found
         return out
 
