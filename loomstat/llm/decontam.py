@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.text import ALNUM, texts
+from loomstat.plans.scratch import freeze
 
 WINDOW = 13
 # a text is contaminated if at least one word in COVERAGE is hit
@@ -155,6 +157,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _scan(automaton):
+    """Adds the matches of one block of items to those of earlier blocks."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(frames):
@@ -162,15 +165,17 @@ def _scan(automaton):
         number = matcher.vocabulary.get
         for batch in frames:
             counts, found, items = [], [], []
-            for text in texts(batch.column(1)):
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts(batch.column(4)), strict=True)
+            for earlier, marked, text in rows:
                 words = text.translate(ALNUM).split()
                 ids = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
                 spans, names = matcher.search(ids)
                 counts.append(len(words))
+                spans += [(s["first"], s["end"]) for s in earlier]
                 found.append([{"first": a, "end": b} for a, b in joined(spans)])
-                items.append(sorted(names))
+                items.append(sorted(names.union(marked)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind), pa.array(items, pa.list_(pa.string())), batch.column(1)],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind), pa.array(items, pa.list_(pa.string())), batch.column(4)],
                 names=["key", "n_words", "spans", "items", "text"],
             )
 
@@ -200,17 +205,15 @@ def _report(frames):
         )
 
 
-def automata(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> list[Automaton]:
-    """One automaton per block of items; blocks are as many as keep each near ``block_words``."""
+def automata(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Automaton]:
+    """One automaton per block of items, made when it is asked for; each has near ``block_words`` words."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
     items = items.select(F.coalesce("item", F.lit("")).alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
-    out = []
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        out.append(Automaton(sorted((r["item"], r["text"].encode().translate(ALNUM).split()) for r in rows), window))
-    return out
+        yield Automaton(sorted((r["item"], r["text"].encode().translate(ALNUM).split()) for r in rows), window)
 
 
 def find_contamination(
@@ -233,26 +236,24 @@ def find_contamination(
     matches nothing and an empty table gives no rows. Repeated keys give a row each. Columns with
     other names are neither read nor returned.
 
-    The benchmark is broadcast in blocks of about ``block_words`` words, one pass over the texts
-    per block; with more than one block keys must differ.
+    The benchmark is broadcast in blocks of about ``block_words`` words, one pass over the texts per
+    block. What a pass finds is written before the next one, so a task holds one block at a time.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    scanned = None
-    scan_kind = f"key {kind}, n_words long, spans array<struct<first:long,end:long>>, items array<string>, text string"
-    blocks = automata(benchmark, item, "text", window, block_words)
-    for block in blocks:
-        part = source.mapInArrow(_scan(spark.sparkContext.broadcast(block)), scan_kind)
-        scanned = part if scanned is None else scanned.union(part)
-    if len(blocks) > 1:
-        found = scanned.drop("text").groupBy("key").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
-        again = source.withColumnRenamed("key", "own")
-        scanned = found.join(again, F.col("key").eqNullSafe(F.col("own"))).select("key", "n_words", "spans", "items", "text")
+    spans_kind = "array<struct<first:long,end:long>>"
+    scanned = docs.select(
+        F.col(key).alias("key"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr(f"CAST(array() AS {spans_kind})").alias("spans"),
+        F.expr("CAST(array() AS array<string>)").alias("items"),
+        F.col(text).alias("text"),
+    )
+    kind = scanned.schema["key"].dataType.simpleString()
+    for number, block in enumerate(automata(benchmark, item, "text", window, block_words)):
+        if number:
+            scanned = freeze(scanned)
+        shared = spark.sparkContext.broadcast(block)
+        scanned = scanned.mapInArrow(_scan(shared), f"key {kind}, n_words long, spans {spans_kind}, items array<string>, text string")
     out = scanned.mapInArrow(
         _report, f"key {kind}, n_words long, n_hit long, n_items long, items_sha256 string, cleaned string"
     )

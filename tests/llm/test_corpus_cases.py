@@ -110,6 +110,10 @@ def test_contamination_cases(spark, odd, none):
     a = decontam.find_contamination(once, bench).orderBy("doc_id").collect()
     b = decontam.find_contamination(once, bench, block_words=20).orderBy("doc_id").collect()
     assert a == b
+    # also where a key has several texts, or none is there
+    one_key = odd.withColumn("doc_id", F.when(F.col("doc_id") > 2, F.lit(0)))
+    a = sorted(map(str, decontam.find_contamination(one_key, bench).collect()))
+    assert a == sorted(map(str, decontam.find_contamination(one_key, bench, block_words=20).collect())) and len(a) == len(ROWS)
 
 
 @given(
