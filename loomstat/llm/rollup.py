@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +80,11 @@ def deletes(changes: DataFrame) -> DataFrame:
     return changes.withColumn("sign", -F.col("sign"))
 
 
+def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The changes that put new counts in the place of old ones; unchanged rows cancel each other."""
+    return deletes(old).unionByName(new)
+
+
 def delta(changes: DataFrame) -> DataFrame:
     """Signed changes summed per group; partial sums are taken before the shuffle, so no group is hot."""
     return changes.groupBy(*GROUP).agg(
@@ -126,10 +130,10 @@ class Ledger:
         """Sums of all committed batches per group; groups with no document left are gone."""
         files, place = self._files(f"{self.folder}/committed")
         found = [s.getPath().toString() for s in files.listStatus(place)] if files.exists(place) else []
-        parts = [self.spark.read.schema(_LAYOUT).parquet(p) for p in sorted(found)]
-        if not parts:
+        if not found:
             return self.spark.createDataFrame([], _LAYOUT)
-        every = reduce(DataFrame.union, parts)
+        # one scan, however many batches there are
+        every = self.spark.read.schema(_LAYOUT).parquet(*sorted(found))
         sums = every.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.filter("docs <> 0 OR tokens <> 0 OR bytes <> 0")
 
