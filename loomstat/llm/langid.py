@@ -17,8 +17,11 @@ UNKNOWN = "und"
 # characters of labelled text per language, and of all languages together
 CHARS_PER_LANGUAGE = 16_384
 CHARS_IN_ALL = 1_000_000
-# expected number of labelled rows per language from which that text is taken
+# expected number of labelled rows per language from which that text is taken, and the characters of each
 SAMPLE_ROWS = 64
+SAMPLE_CHARS = 65_536
+# a text gives at most this share of a language's characters while others have some left
+TEXTS_PER_LANGUAGE = 16
 SYMBOLS = 64
 # a phrase ends at every multiple of this many characters, so that long texts parse in parallel
 STRETCH = 8192
@@ -82,13 +85,18 @@ def _spaced(text: str) -> str:
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """Build the automata from labelled texts; the texts of a language are used in order up to its budget."""
+    """Build the automata from labelled texts.
+
+    The texts of a language are used in order up to its budget, first the begin of each, so that no long
+    text stands for the language alone, then what is left of them.
+    """
     budget = max(1, min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // max(1, len(samples))))
     lines: dict[str, str] = {}
     for language in sorted(samples):
         taken, size = [], 0
-        for text in samples[language]:
-            line = _spaced(text)
+        spaced = [_spaced(text) for text in samples[language]]
+        share = -(-budget // TEXTS_PER_LANGUAGE)
+        for line in [*(line[:share] for line in spaced), *(line[share:] for line in spaced)]:
             if line and size < budget:
                 taken.append(line[: budget - size])
                 size += len(taken[-1]) + 1
@@ -183,7 +191,10 @@ def _predict(shared):
 
 
 def learn(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about ``SAMPLE_ROWS`` labelled rows per language, chosen by hash among ``training`` rows."""
+    """Fit on about ``SAMPLE_ROWS`` labelled rows per language, chosen by hash among ``training`` rows.
+
+    Of each of them the first ``SAMPLE_CHARS`` characters reach the driver.
+    """
     labelled = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
@@ -192,7 +203,7 @@ def learn(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     cut = (share[F.col(lang)] * (1 << 30)).cast("long")
     # small languages are taken whole, large ones by hash
     rank = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
-    taken = labelled.filter(rank < cut).select(F.col(lang).alias("lang"), rank.alias("rank"), F.col(text).alias("text")).collect()
+    taken = labelled.filter(rank < cut).select(F.col(lang).alias("lang"), rank.alias("rank"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(taken, key=lambda r: (r["lang"], r["rank"], r["text"])):
         samples.setdefault(row["lang"], []).append(row["text"])

@@ -64,6 +64,12 @@ def test_language_cases(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_sample_is_shared_by_texts():
+    long, short = "abcd" * langid.CHARS_PER_LANGUAGE, "wxyz"
+    model = langid.fit({"x": [long, short]})
+    assert set(model.symbol_of) == set("abcdwxyz") and model.bits[0] <= np.log2(langid.CHARS_PER_LANGUAGE + 2)
+
+
 def plain_phrases(text, sample):
     """Longest strings that the sample holds, from left to right; a character it lacks costs two."""
     count, at = 0, 0
@@ -279,7 +285,7 @@ def test_ledger_is_idempotent(spark, odd, none, tmp_path):
     assert before.agg(F.sum("docs")).first()[0] == len(ROWS)
     some = counted.filter("key = 7")
     revised = some.withColumn("tokens", F.col("tokens") + 5)
-    assert ledger.commit("two", rollup.deletes(some).union(revised)) and not ledger.commit("two", revised)
+    assert ledger.commit("two", rollup.revisions(some, revised)) and not ledger.commit("two", revised)
     assert ledger.totals().agg(F.sum("tokens")).first()[0] == before.agg(F.sum("tokens")).first()[0] + 5
     assert ledger.commit("three", rollup.deletes(counted).union(rollup.deletes(revised)).union(some))
     assert ledger.totals().count() == 0
