@@ -177,8 +177,8 @@ class Vocabulary:
 def _encode(shared):
     def run(frames):
         vocabulary = shared.value
-        # a worker process keeps what it has segmented for its next tasks
-        memory = vocabulary.__dict__.setdefault("memory", {})
+        # freed with the task: worker processes live on and would each hold their own
+        memory: dict[str, list[int]] = {}
         is_byte = np.zeros(len(vocabulary.pieces), bool)
         is_byte[vocabulary.byte_ids] = True
         for batch in frames:
