@@ -156,11 +156,14 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _scan(automaton):
-    """Adds the matches of one block of items to those of earlier blocks."""
+def _scan(automaton, last: bool):
+    """Adds the matches of one block of items to those of earlier blocks; the last block's pass reports."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(frames):
+        return _report(scan(frames)) if last else scan(frames)
+
+    def scan(frames):
         matcher = automaton.value
         number = matcher.vocabulary.get
         for batch in frames:
@@ -205,15 +208,15 @@ def _report(frames):
         )
 
 
-def automata(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """One automaton per block of items, made when it is asked for; each has near ``block_words`` words."""
+def automata(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[tuple[Automaton, bool]]:
+    """An automaton per block of near ``block_words`` words, made when it is asked for, and whether it is the last."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
     items = items.select(F.coalesce("item", F.lit("")).alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        yield Automaton(sorted((r["item"], r["text"].encode().translate(ALNUM).split()) for r in rows), window)
+        yield Automaton(sorted((r["item"], r["text"].encode().translate(ALNUM).split()) for r in rows), window), b == blocks - 1
 
 
 def find_contamination(
@@ -249,15 +252,14 @@ def find_contamination(
         F.col(text).alias("text"),
     )
     kind = scanned.schema["key"].dataType.simpleString()
-    for number, block in enumerate(automata(benchmark, item, "text", window, block_words)):
-        if number:
-            scanned = freeze(scanned)
+    passed = f"key {kind}, n_words long, spans {spans_kind}, items array<string>, text string"
+    reported = f"key {kind}, n_words long, n_hit long, n_items long, items_sha256 string, cleaned string"
+    for block, last in automata(benchmark, item, "text", window, block_words):
         shared = spark.sparkContext.broadcast(block)
-        scanned = scanned.mapInArrow(_scan(shared), f"key {kind}, n_words long, spans {spans_kind}, items array<string>, text string")
-    out = scanned.mapInArrow(
-        _report, f"key {kind}, n_words long, n_hit long, n_items long, items_sha256 string, cleaned string"
-    )
+        scanned = scanned.mapInArrow(_scan(shared, last), reported if last else passed)
+        if not last:
+            scanned = freeze(scanned)
     contaminated = (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
-    return out.select(
+    return scanned.select(
         F.col("key").alias(key), "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"), "cleaned"
     )
