@@ -25,7 +25,8 @@ TEXTS_PER_LANGUAGE = 16
 SYMBOLS = 64
 # a phrase ends at every multiple of this many characters, so that long texts parse in parallel
 STRETCH = 8192
-PIECE_BYTES = 1 << 22
+# bytes of text that are parsed together
+PIECE_BYTES = 1 << 21
 _SPACE, _OTHER = 0, 1
 
 
@@ -138,7 +139,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
         c = chr(code)
         lookup[code] = model.symbol_of.get(c, _OTHER) if c.isalpha() else _SPACE
     symbol = lookup[codes]
-    owner = np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 1 for t in texts])
     keep = np.ones(len(symbol), bool)
     keep[1:] = (symbol[1:] != _SPACE) | (symbol[:-1] != _SPACE) | (owner[1:] != owner[:-1])
     symbol, owner = symbol[keep], owner[keep]
