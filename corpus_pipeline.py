@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm import decontam, langid, pieces, simhash, suffixdedup
-from loomstat.llm.text import fold
+from loomstat.llm.text import fold, row_id
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze, work_path
 from loomstat.plans.ship import ship
@@ -17,17 +17,23 @@ from loomstat.plans.ship import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(row, text): each row under its ``row_id``, which decides for that doc_id and text alone."""
+    return docs.select(row_id(F.col("doc_id"), F.col("text")).alias("row"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``."""
-    names = freeze(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(broadcast_if_small(names), docs["doc_id"] == F.col("__gone"), "left_anti").select(*COLUMNS)
+    """``docs`` without the rows whose id is in ``gone``."""
+    names = freeze(gone.select(F.col("row").alias("__gone")).distinct())
+    own = row_id(docs["doc_id"], docs["text"])
+    return docs.join(broadcast_if_small(names), own == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (no letters) go."""
     ship(spark)
     model = langid.learn(docs, fold(F.col("doc_id"), 5) != 0)
-    return _without(docs, langid.identify(docs, model).filter(F.col("lang_pred") == langid.UNKNOWN))
+    return _without(docs, langid.identify(_named(docs), model, "row").filter(F.col("lang_pred") == langid.UNKNOWN))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go, the others stay as they are."""
     ship(spark)
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.find_contamination(_named(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
     return _without(docs, found.filter("contaminated"))
 
 

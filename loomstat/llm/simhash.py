@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.components import components
-from loomstat.llm.text import LOWER, texts
+from loomstat.llm.text import LOWER, row_id, texts
 from loomstat.plans.scratch import freeze
 
 SEED = 42
@@ -181,10 +181,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its near-duplicate component.
+    """The row of each near-duplicate component of ``docs`` with the smallest key.
 
+    Rows of one key are told apart by their texts, in order of their ``row_id``; equal rows stay together.
     Rows without a key cannot be told apart and stay.
     """
-    found = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    own = row_id(F.col(key), F.col(text))
+    ordered = docs.filter(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("k"), own.alias("id")).alias("__row"), text)
+    found = near_duplicates(ordered, "__row", text)
+    gone = found.filter(F.col("__row.id") != F.col("component_id.id")).select(F.col("__row.id").alias("__gone")).distinct()
+    return docs.join(gone, row_id(docs[key], docs[text]) == gone["__gone"], "left_anti")

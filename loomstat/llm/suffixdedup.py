@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.text import batches, parts, texts
+from loomstat.llm.text import batches, parts, row_id, texts
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
 
@@ -91,9 +91,9 @@ def runs_of(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, .
 
 def _runs(length: int):
     def run(frames):
-        schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary())])
+        schema = pa.schema([("row", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary())])
         for batch in frames:
-            row = np.asarray(batch.column(0))
+            row = batch.column(0).cast(pa.binary())
             for begin, end in batches(batch.column(1), PIECE_BYTES):
                 raw, at = parts(batch.column(1).slice(begin, end - begin))
                 if len(raw) >= 1 << int(_PLACE_BITS):
@@ -105,7 +105,7 @@ def _runs(length: int):
                     for a, b in zip(low.tolist(), (low + n + length - 1).tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[begin:end][owner]), pa.array(start), pa.array(n), pa.array(anchor), pa.array(digests, pa.binary())],
+                    [row.slice(begin, end - begin).take(pa.array(owner)), pa.array(start), pa.array(n), pa.array(anchor), pa.array(digests, pa.binary())],
                     schema=schema,
                 )
 
@@ -205,7 +205,7 @@ def _search(length: int):
             if once and len(windows):
                 out_rows.append(row)
                 out_spans.append(_joined_spans(windows + start, length))
-        return pa.RecordBatch.from_arrays([pa.array(out_rows, pa.int64()), pa.array(out_spans, _SPANS)], names=["row", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary()), pa.array(out_spans, _SPANS)], names=["row", "spans"])
 
     def run(frames):
         held, size = [], 0
@@ -224,13 +224,20 @@ def _search(length: int):
 
 
 def _pieces(length: int):
-    """Rows with wanted runs to (anchor, piece, row, start, once)."""
+    """Rows with wanted runs to (anchor, piece, row, start, once).
+
+    Rows of one id hold the same bytes; a task fetches them once.
+    """
 
     def run(frames):
-        schema = pa.schema([("anchor", pa.int64()), ("piece", pa.binary()), ("row", pa.int64()), ("start", pa.int64()), ("once", pa.bool_())])
+        schema = pa.schema([("anchor", pa.int64()), ("piece", pa.binary()), ("row", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
+        seen = set()
         for batch in frames:
             out = []
             for row, text, wanted in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if row in seen:
+                    continue
+                seen.add(row)
                 for w in wanted:
                     out.append((w["anchor"], text[w["start"] : w["start"] + w["n"] + length - 1], row, w["start"], w["once"]))
             yield pa.RecordBatch.from_arrays(
@@ -244,13 +251,13 @@ def _windows(length: int):
     """Pieces to their windows: (a, b) digest halves, row, start, once."""
 
     def run(frames):
-        schema = pa.schema([("digest", pa.binary()), ("row", pa.int64()), ("start", pa.int64()), ("once", pa.bool_())])
+        schema = pa.schema([("digest", pa.binary()), ("row", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
         for batch in frames:
             for _, piece, row, start, once in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 n = len(piece) - length + 1
                 digests = [hashlib.blake2b(piece[k : k + length], digest_size=16).digest() for k in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array([row] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array([once] * n)],
+                    [pa.array(digests, pa.binary()), pa.array([row] * n, pa.binary()), pa.array(range(start, start + n), pa.int64()), pa.array([once] * n)],
                     schema=schema,
                 )
 
@@ -258,16 +265,17 @@ def _windows(length: int):
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"))
+    return docs.select(row_id(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(row, spans): per text with repeats, the sorted, disjoint byte spans that are covered.
 
-    ``key`` is a whole number; rows of one key must hold one text; rows without a key are left out.
+    ``row`` is the ``row_id`` of key and text, so rows that share a key, or have none, are told apart by
+    their texts; equal rows are places of their own and share their spans.
     """
-    source = _numbered(docs, key, text).filter("row IS NOT NULL")
-    kind = "row long, start long, n long, anchor long, digest binary"
+    source = _numbered(docs, key, text).select("row", "text")
+    kind = "row binary, start long, n long, anchor long, digest binary"
     runs = freeze(source.filter(F.octet_length("text") >= length).mapInArrow(_runs(length), kind))
     # most anchors occur once: nothing is left to compare there
     anchor_counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
@@ -290,11 +298,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     )
     few = _fetch(source, mixed.filter("NOT w.many"), length)
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    searched = few.repartition(parallel, "anchor").sortWithinPartitions("anchor").mapInArrow(_search(length), f"row long, spans {SPANS}")
+    searched = few.repartition(parallel, "anchor").sortWithinPartitions("anchor").mapInArrow(_search(length), f"row binary, spans {SPANS}")
     many = mixed.filter("w.many")
     shards = [covered, searched]
     if not many.isEmpty():
-        windows = _fetch(source, many, length).mapInArrow(_windows(length), "digest binary, row long, start long, once boolean")
+        windows = _fetch(source, many, length).mapInArrow(_windows(length), "digest binary, row binary, start long, once boolean")
         twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
         hit = windows.filter("once").join(twice, "digest", "left_semi")
         shards.append(hit.select("row", F.array(F.struct("start", (F.col("start") + length).alias("end"))).alias("spans")))
@@ -308,7 +316,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             out = [[{"start": a, "end": b} for a, b in disjoint(spans)] for spans in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], names=["row", "spans"])
 
-    return gathered.mapInArrow(join_spans, f"row long, spans {SPANS}")
+    return gathered.mapInArrow(join_spans, f"row binary, spans {SPANS}")
 
 
 def _fetch(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -316,7 +324,7 @@ def _fetch(source: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     by_text = wanted.groupBy("of").agg(F.collect_list("w").alias("wanted"))
     joined = source.join(broadcast_if_small(freeze(by_text)), F.col("row") == F.col("of"))
     return joined.select("row", "text", "wanted").mapInArrow(
-        _pieces(length), "anchor long, piece binary, row long, start long, once boolean"
+        _pieces(length), "anchor long, piece binary, row binary, start long, once boolean"
     )
 
 
@@ -357,12 +365,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Each byte covered by a ``length``-byte string that also starts anywhere else is removed, in all
     places where it occurs; strings are judged on the input. NULL and empty texts have no bytes.
-    ``key`` is a whole number and rows of one key must hold one text (such rows are places of their
-    own, so they repeat each other); rows with a NULL key are kept as they are and no place. An empty table gives no rows. Columns besides key and text are neither read nor returned.
+    ``key`` is a whole number, which may be NULL or stand in several rows: every row is a place of
+    its own and is judged by its own text. An empty table gives no rows. Columns besides key and text are neither read nor returned.
     """
     spans = freeze(repeated_spans(docs, key, text, length)).select(F.col("row").alias("of"), "spans")
     joined = _numbered(docs, key, text).join(broadcast_if_small(spans), F.col("row") == F.col("of"), "left")
-    out = joined.select("row", "text", "spans").mapInArrow(
+    out = joined.select("key", "text", "spans").mapInArrow(
         _cut, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return out.withColumnRenamed("row", key)
@@ -374,7 +382,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     See ``remove_repeats``; a character that is cut in two goes as a whole.
     """
     spans = freeze(repeated_spans(docs, key, text, length)).select(F.col("row").alias("__of"), F.col("spans").alias("__spans"))
-    joined = docs.join(broadcast_if_small(spans), docs[key].cast("long") == F.col("__of"), "left").drop("__of")
+    joined = docs.join(broadcast_if_small(spans), row_id(docs[key], docs[text]) == F.col("__of"), "left").drop("__of")
     place = docs.columns.index(text)
 
     def run(frames):

@@ -41,6 +41,14 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def row_id(key: Column, text: Column) -> Column:
+    """128-bit digest of a row's key and text, NULL being a value: rows share it only if they agree in both."""
+    name = key.cast("string")
+    named = F.concat(F.octet_length(name).cast("string"), F.lit(":"), name)
+    whole = F.concat(F.coalesce(named, F.lit("-")), F.coalesce(F.concat(F.lit("+"), text), F.lit("-")))
+    return F.unhex(F.md5(whole.cast("binary")))
+
+
 def sample_below(key: Column, share: float) -> Column:
     """True for about ``share`` of the keys, by hash, so the same rows on every run."""
     cut = int(min(max(share, 0.0), 1.0) * (1 << 30))

@@ -401,3 +401,41 @@ def test_stages_handle_odd_rows(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS, name
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert sorted(r["doc_id"] for r in last.collect()) == ([1, 7, 8, 9, 10, 11, 11] if rows else [])
+
+
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+EVALUATED = "the quick brown fox jumps over the lazy dog while nobody looks at the old red barn"
+
+
+def passage(seed, k=500):
+    return "".join(random.Random(seed).choices("abcdefghij ", k=k))
+
+
+def staged(spark, folder, stage, rows):
+    """(doc_id, text) that a stage keeps of rows (doc_id, text, lang), sorted."""
+    import corpus_pipeline
+
+    items = spark.createDataFrame([(1, EVALUATED)], "item_id long, text string")
+    items.write.mode("ignore").parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], STAGE_COLUMNS)
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(folder))
+    return sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+
+
+def test_repeats_of_one_key_with_several_texts(spark):
+    """Every row is cut by the spans of its own text, whatever other texts its key has."""
+    shared = passage(1)
+    rows = [(7, passage(2, 90) + shared), (7, passage(3, 700)), (7, "short"), (8, shared + passage(4, 50)), (7, passage(5, 60) + shared + "!")]
+    found = suffixdedup.remove_repeats(frame(spark, [(i, t, "", "") for i, t in rows])).collect()
+    want = [(i, len(t), sum(flags)) for (i, t), flags in zip(rows, brute_cuts([t.encode() for _, t in rows], 400), strict=True)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in found) == sorted(want)
+
+
+def test_stages_judge_each_text_of_a_key(spark, tmp_path):
+    clean = (7, "Der Hund und die Katze schlafen heute nicht.", "de")
+    other = (7, "Une autre phrase sans aucun rapport avec les animaux.", "fr")
+    assert staged(spark, tmp_path, "language", [clean, (7, "123 !", "de")]) == [clean[:2]]
+    assert staged(spark, tmp_path, "benchmark", [clean, (7, EVALUATED, "en")]) == [clean[:2]]
+    assert staged(spark, tmp_path, "near_duplicates", [(3, clean[1], "de"), clean, other]) == [(3, clean[1]), other[:2]]
+    cut = staged(spark, tmp_path, "repeats", [(7, passage(1), "en"), (8, passage(1), "en"), (7, passage(2), "en")])
+    assert cut == sorted([(7, ""), (8, ""), (7, passage(2))], key=str)
