@@ -184,10 +184,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The row of each near-duplicate component of ``docs`` with the smallest key.
 
     Rows of one key are told apart by their texts, in order of their ``row_id``; equal rows stay together.
-    Rows without a key cannot be told apart and stay.
+    Rows without a key come after all others: they stay if their component has no keyed row, and of equal
+    ones a single row does.
     """
     own = row_id(F.col(key), F.col(text))
-    ordered = docs.filter(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("k"), own.alias("id")).alias("__row"), text)
+    ordered = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), own.alias("id")).alias("__row"), text)
     found = near_duplicates(ordered, "__row", text)
-    gone = found.filter(F.col("__row.id") != F.col("component_id.id")).select(F.col("__row.id").alias("__gone")).distinct()
-    return docs.join(gone, row_id(docs[key], docs[text]) == gone["__gone"], "left_anti")
+    gone = found.filter(F.col("__row.id") != F.col("component_id.id")).select(F.col("__row.id").alias("__gone"))
+    kept = docs.withColumn("__id", own).join(freeze(gone.distinct()), F.col("__id") == F.col("__gone"), "left_anti")
+    keyed, others = kept.filter(F.col(key).isNotNull()), kept.filter(F.col(key).isNull()).dropDuplicates(["__id"])
+    return keyed.union(others).drop("__id")

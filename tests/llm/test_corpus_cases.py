@@ -439,3 +439,15 @@ def test_stages_judge_each_text_of_a_key(spark, tmp_path):
     assert staged(spark, tmp_path, "near_duplicates", [(3, clean[1], "de"), clean, other]) == [(3, clean[1]), other[:2]]
     cut = staged(spark, tmp_path, "repeats", [(7, passage(1), "en"), (8, passage(1), "en"), (7, passage(2), "en")])
     assert cut == sorted([(7, ""), (8, ""), (7, passage(2))], key=str)
+
+
+def test_stages_judge_rows_without_key(spark, tmp_path):
+    clean = (None, "Der Hund und die Katze schlafen heute nicht.", "de")
+    assert staged(spark, tmp_path, "language", [clean, (None, "123 !", "de"), (1, "x", "de")]) == sorted([clean[:2], (1, "x")], key=str)
+    assert staged(spark, tmp_path, "benchmark", [clean, (None, EVALUATED, "en")]) == [clean[:2]]
+    copies = [clean, clean, (None, "one more text", "en"), (4, "one more text", "en"), (4, "one more text", "en")]
+    kept = [(4, "one more text"), (4, "one more text"), clean[:2]]
+    assert staged(spark, tmp_path, "near_duplicates", copies) == sorted(kept, key=str)
+    alone, shared = passage(2), passage(1)
+    rows = [(None, shared + "12"), (1, "34" + shared), (None, alone), (None, passage(3) + passage(3))]
+    assert staged(spark, tmp_path, "repeats", [(i, t, "en") for i, t in rows]) == sorted([(None, "12"), (1, "34"), (None, alone), (None, "")], key=str)
