@@ -30,10 +30,10 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (no letters) go."""
+    """Texts without letters go, whatever could be learned; no prediction or score rejects a text."""
     ship(spark)
     model = langid.learn(docs, fold(F.col("doc_id"), 5) != 0)
-    return _without(docs, langid.identify(_named(docs), model, "row").filter(F.col("lang_pred") == langid.UNKNOWN))
+    return _without(docs, langid.identify(_named(docs), model, "row").filter("NOT has_letter"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

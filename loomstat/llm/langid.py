@@ -184,8 +184,8 @@ def _predict(shared):
                     score = 1.0 - ordered[0] / ordered[1] if len(ordered) > 1 else np.ones(len(values))
                     score = np.where(letters, np.clip(score, 0.0, 1.0), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
-                    names=["key", "lang_pred", "score"],
+                    [batch.column(0).slice(begin, end - begin), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(letters)],
+                    names=["key", "lang_pred", "score", "has_letter"],
                 )
 
     return run
@@ -212,16 +212,16 @@ def learn(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for every row of ``docs``, from the whole text alone.
+    """(key, lang_pred, score, has_letter) for every row of ``docs``, from the whole text alone.
 
     Letters are lower-cased, everything else is one space. The text is parsed from left to right
     into the longest strings that a language's sample holds; the number of phrases times the bits
     that name a place of the sample, per character, is the cross entropy, and the least wins (ties:
     first in alphabetical order). ``score`` is one less the ratio of the least to the next. A text
-    that is NULL or has no letter, or a model without languages, gives ``und`` and score 0. Repeated
-    keys give a row each, an empty table none; other columns are neither read nor returned.
+    that is NULL or has no letter, or a model without languages, gives ``und`` and score 0;
+    ``has_letter`` tells the two apart. Repeated keys give a row each, an empty table none; other columns are neither read nor returned.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return source.mapInArrow(_predict(shared), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return source.mapInArrow(_predict(shared), f"key {kind}, lang_pred string, score double, has_letter boolean").withColumnRenamed("key", key)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -451,3 +452,12 @@ def test_stages_judge_rows_without_key(spark, tmp_path):
     alone, shared = passage(2), passage(1)
     rows = [(None, shared + "12"), (1, "34" + shared), (None, alone), (None, passage(3) + passage(3))]
     assert staged(spark, tmp_path, "repeats", [(i, t, "en") for i, t in rows]) == sorted([(None, "12"), (1, "34"), (None, alone), (None, "")], key=str)
+
+
+def test_language_stage_keeps_letters_when_nothing_is_learned(spark, tmp_path):
+    texts = ["Der Hund schläft.", "x", "12 !", "", None]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    assert staged(spark, tmp_path, "language", rows) == [(0, texts[0]), (1, "x")]
+    # a labelled row of fold 0 teaches nothing
+    alone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 0)
+    assert staged(spark, tmp_path, "language", [(alone, "Der Hund schläft.", "de")]) == [(alone, "Der Hund schläft.")]
