@@ -22,7 +22,6 @@ SAMPLE_ROWS = 64
 SAMPLE_CHARS = 65_536
 # a text gives at most this share of a language's characters while others have some left
 TEXTS_PER_LANGUAGE = 16
-SYMBOLS = 64
 # a phrase ends at every multiple of this many characters, so that long texts parse in parallel
 STRETCH = 8192
 # bytes of text that are parsed together
@@ -30,8 +29,8 @@ PIECE_BYTES = 1 << 21
 _SPACE, _OTHER = 0, 1
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of ``text``; 0 is none, state 1 the start."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ``text`` by symbol; state 0 is none, 1 the start."""
     go: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -57,20 +56,53 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    table = np.zeros((len(go), symbols), np.int32)
-    for state, following in enumerate(go):
-        for symbol, target in following.items():
-            table[state, symbol] = target
-    return table
+    return go
+
+
+def packed(states: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, slots): the transition of a state by a symbol is in slot base[state] + symbol, if it is there.
+
+    Rows of transitions are shifted so that they interleave; a slot holds (state << 32) + target, or -1.
+    """
+    base = np.zeros(len(states), np.int64)
+    slots = [-1] * (2 * symbols)
+    start = symbols
+    rows = sorted((k for k, row in enumerate(states) if len(row) > 1), key=lambda k: -len(states[k]))
+    for state in rows:
+        row = states[state]
+        least = min(row)
+        tries, at = 0, start
+        while True:
+            while len(slots) < at + symbols:
+                slots.extend([-1] * symbols)
+            if slots[at] < 0 and all(slots[at - least + s] < 0 for s in row):
+                break
+            at, tries = at + 1, tries + 1
+        # where places are hard to find, the gaps are left to states with one transition
+        start = at - 16 if tries > 64 else start
+        base[state] = at - least
+        for s, target in row.items():
+            slots[at - least + s] = (state << 32) + target
+    at = symbols
+    for state, row in enumerate(states):
+        for s, target in row.items() if len(row) == 1 else ():
+            while at < len(slots) and slots[at] >= 0:
+                at += 1
+            if at == len(slots):
+                slots.extend([-1] * (symbols + len(states)))
+            base[state] = at - s
+            slots[at] = (state << 32) + target
+    return base, np.array(slots + [-1] * symbols, np.int64)
 
 
 @dataclass
 class Model:
-    """Automata of all languages in one table, with the symbols of their letters."""
+    """Automata of all languages in one table, with a symbol for every letter of their samples."""
 
     languages: list[str]
     symbol_of: dict[str, int]
-    table: np.ndarray  # flat [state * symbols + symbol]
+    base: np.ndarray  # per state, where its transitions begin in slots
+    slots: np.ndarray  # see packed
     roots: np.ndarray
     restart: np.ndarray  # [language, symbol] state after the first symbol of a phrase
     cost: np.ndarray  # [language, symbol] phrases closed where a match breaks
@@ -104,27 +136,26 @@ def fit(samples: dict[str, list[str]]) -> Model:
         if taken:
             lines[language] = " ".join(taken)
     letters = Counter(c for line in lines.values() for c in line if c != " ")
-    ranked = sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2]
+    ranked = sorted(letters, key=lambda c: (-letters[c], c))
     symbol_of = {c: k + 2 for k, c in enumerate(ranked)}
     symbols = len(symbol_of) + 2
-    tables, roots, restart, offset = [np.zeros((1, symbols), np.int32)], [], [], 1
-    for line in lines.values():
-        coded = np.array([_SPACE if c == " " else symbol_of.get(c, _OTHER) for c in line])
-        table = automaton(coded, symbols)[1:]
-        table = np.where(table > 0, table + offset - 1, 0).astype(np.int32)
-        roots.append(offset)
-        restart.append(table[0])
-        tables.append(table)
-        offset += len(table)
+    states, roots = [{}], []
+    restart = np.zeros((len(lines), symbols), np.int32)
+    for k, line in enumerate(lines.values()):
+        coded = np.array([_SPACE if c == " " else symbol_of[c] for c in line])
+        offset = len(states) - 1
+        roots.append(offset + 1)
+        states.extend({s: target + offset for s, target in row.items()} for row in automaton(coded)[1:])
+        for s, target in states[offset + 1].items():
+            restart[k, s] = target
     root = np.array(roots, np.int32).reshape(-1, 1)
-    first = np.array(restart, np.int32).reshape(-1, symbols)
     return Model(
         list(lines),
         symbol_of,
-        np.concatenate(tables).ravel(),
+        *packed(states, symbols),
         root,
-        np.where(first > 0, first, root),
-        np.where(first > 0, 1, 2).astype(np.int32),
+        np.where(restart > 0, restart, root),
+        np.where(restart > 0, 1, 2).astype(np.int32),
         np.array([math.log2(len(line) + 1) for line in lines.values()]),
     )
 
@@ -134,7 +165,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     # a separator that is no letter ends each text
     codes = np.frombuffer("\n".join([*(t.lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     present = np.flatnonzero(np.bincount(codes))
-    lookup = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.uint8)
+    lookup = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.min_scalar_type(model.symbols))
     for code in present.tolist():
         c = chr(code)
         lookup[code] = model.symbol_of.get(c, _OTHER) if c.isalpha() else _SPACE
@@ -153,16 +184,15 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     lane_size = np.minimum(STRETCH, sizes[lane_owner] - part * STRETCH)
     order = np.argsort(-lane_size, kind="stable")
     lane_owner, lane_begin, lane_size = lane_owner[order], lane_begin[order], lane_size[order]
-    width = model.symbols
     state = np.repeat(model.roots, len(order), axis=1)
     count = np.zeros(state.shape, np.int32)
     alive = np.searchsorted(-lane_size, -np.arange(1, (lane_size[0] if len(order) else 0) + 1), side="right")
     for step, n in enumerate(alive.tolist()):
         s = symbol[lane_begin[:n] + step]
-        following = model.table.take(state[:, :n] * width + s)
-        broken = following == 0
+        slot = model.slots.take(model.base.take(state[:, :n]) + s)
+        broken = (slot >> 32) != state[:, :n]
         count[:, :n] += broken * model.cost[:, s]
-        state[:, :n] = np.where(broken, model.restart[:, s], following)
+        state[:, :n] = np.where(broken, model.restart[:, s], slot & 0xFFFFFFFF)
     count += state != model.roots
     total = np.stack([np.bincount(lane_owner, weights=c, minlength=len(texts)) for c in count]) if len(count) else count
     return total, sizes, letters

@@ -461,3 +461,17 @@ def test_language_stage_keeps_letters_when_nothing_is_learned(spark, tmp_path):
     # a labelled row of fold 0 teaches nothing
     alone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 0)
     assert staged(spark, tmp_path, "language", [(alone, "Der Hund schläft.", "de")]) == [(alone, "Der Hund schläft.")]
+
+
+def test_every_letter_of_a_large_alphabet_counts():
+    """Hundreds of letters, of which one shared symbol would make one endless match."""
+    rng = random.Random(6)
+    alphabets = {"p": [chr(0x4E00 + k) for k in range(400)], "q": [chr(0x4E00 + k) for k in range(200, 600)], "r": list("абвгдежз")}
+    lines = {g: " ".join("".join(rng.choices(a, k=rng.randrange(1, 9))) for _ in range(700)) for g, a in alphabets.items()}
+    model = langid.fit({g: [t] for g, t in lines.items()})
+    assert set(model.symbol_of) == {c for t in lines.values() for c in t if c != " "}
+    texts = [" ".join(rng.choices(lines[g].split(), k=40)) for g in lines]
+    count, sizes, letters = langid.phrases(model, texts)
+    for k, line in enumerate(lines.values()):
+        assert count[k, k] == plain_phrases(texts[k] + " ", line)
+    assert (count * model.bits[:, None]).argmin(axis=0).tolist() == [0, 1, 2]
