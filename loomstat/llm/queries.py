@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with SQL where SQL can say it."""
+"""The thirteen operators over their whole tables, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import chat, decontam, hostrules, langid, lm, pieces, quality, rollup, simhash, suffixdedup
+from loomstat.llm import chat, decontam, divergence, hostrules, langid, lm, merkle, neighbours, pieces, quality, rollup, simhash, suffixdedup
 from loomstat.llm.text import fold
 from loomstat.plans.scratch import freeze, work_path
 
@@ -164,3 +164,83 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "n_bytes", "exact", F.sha2(ids, 256).alias("pieces_sha256")
     )
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# the CRC-32 register after the key's digits, bit by bit; the checksum is its complement
+_CRC_SQL = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+       lambda c: list_transform(range(8), lambda b: (ascii(c) >> b) & 1)))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)))"""
+
+
+@_query(
+    "op11_merkle_manifest",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_CRC_SQL} & 1 = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS shown,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM documents),
+     up(source, lvl, idx, n, hash) AS (SELECT source, 0, idx, n, leaf FROM d
+       UNION ALL SELECT source, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY source, lvl, idx // 3, n),
+     subs AS (SELECT source, lvl AS h, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS m FROM up WHERE n = 1),
+     top(lvl, idx, n, hash) AS (SELECT 0, r, m, hash FROM subs
+       UNION ALL SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n),
+     below AS (SELECT doc_id, u.lvl AS step, u.idx, u.hash, d.idx // CAST(pow(3, u.lvl) AS BIGINT) AS own FROM d JOIN up u
+         ON u.source IS NOT DISTINCT FROM d.source AND u.n > 1 AND u.idx // 3 = d.idx // CAST(pow(3, u.lvl + 1) AS BIGINT)),
+     above AS (SELECT source, s.h + t.lvl AS step, t.idx, t.hash, s.r // CAST(pow(3, t.lvl) AS BIGINT) AS own FROM subs s JOIN top t
+         ON t.n > 1 AND t.idx // 3 = s.r // CAST(pow(3, t.lvl + 1) AS BIGINT)),
+     path AS (SELECT doc_id, step, coalesce(string_agg(hash, '' ORDER BY idx) FILTER (idx < own), '') AS before,
+         coalesce(string_agg(hash, '' ORDER BY idx) FILTER (idx > own), '') AS after
+       FROM (SELECT * FROM below UNION ALL SELECT doc_id, step, a.idx, hash, own FROM above a JOIN d ON a.source IS NOT DISTINCT FROM d.source)
+       GROUP BY doc_id, step),
+     proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY step)) AS digest FROM path GROUP BY doc_id),
+     fold(doc_id, step, acc) AS (SELECT doc_id, 0, shown FROM d
+       UNION ALL SELECT doc_id, step + 1, sha256(before || acc || after) FROM fold JOIN path USING (doc_id, step)),
+     folded AS (SELECT doc_id, arg_max(acc, step) AS folded_root FROM fold GROUP BY doc_id),
+     root AS (SELECT hash AS root FROM top WHERE n = 1)
+     SELECT d.doc_id, leaf, s.hash AS subroot, root, coalesce(digest, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+     FROM d JOIN subs s ON s.source IS NOT DISTINCT FROM d.source JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id), root""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(_table(spark, folder, "documents"))
+
+
+@_query(
+    "op12_source_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     t AS (SELECT row_id, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+     l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     o AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+     gn AS (SELECT lang, source, sum(c) AS n FROM o GROUP BY lang, source),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c,
+         1 + (1000000000 * CAST(coalesce(o.c, 0) + 1 AS HUGEINT)) // CAST(coalesce(gn.n, 0) + l.v AS HUGEINT) AS p,
+         1 + (1000000000 * CAST(k.c + 1 AS HUGEINT)) // CAST(l.n + l.v AS HUGEINT) AS q
+       FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+       LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+     sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     every AS (SELECT * FROM pairs UNION ALL
+       SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
+     SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+     FROM every QUALIFY part = 'pair' OR rank <= 200""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
+@_query("op13_nearest_vectors")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
