@@ -1,7 +1,7 @@
 """Divergence of the sources of a language over its kept terms, found by iceberg prefix refinement.
 
 A term is kept if it stands in at least ``min_docs`` documents of its language. No document count is taken of
-terms as such at first: byte prefixes are extended level by level (4, 8, 16, ... bytes), and a prefix that too few distinct documents
+terms as such at first: byte prefixes are extended level by level (8, 16, 32, ... bytes), and a prefix that too few distinct documents
 hold is discarded with all its extensions, until complete terms remain, whose documents are counted exactly. One pass over
 the texts writes, per task, how many documents hold each prefix and term; a document is in one task, so these
 numbers add up. The levels then read that table alone, and only rows below surviving prefixes are shuffled.
@@ -27,9 +27,9 @@ UNIT = 1_000_000_000
 # ranks of terms that are returned; all ranks of pairs are
 TOP_TERMS = 200
 # bytes of the shortest prefix; each further level is twice as long
-FIRST_LEVEL = 4
+FIRST_LEVEL = 8
 # terms and prefixes that a task holds before it passes its counts on
-HELD = 250_000
+HELD = 500_000
 # terms, and sources to each side, whose shares are compared in one block
 BLOCK_TERMS = 4096
 BLOCK_SOURCES = 64
@@ -46,13 +46,16 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def levels_of(size: int) -> list[int]:
-    """Lengths of the proper prefixes of a term of ``size`` bytes that are levels, shortest first."""
-    out, level = [], FIRST_LEVEL
-    while level < size:
-        out.append(level)
+def level_below(size: int) -> int:
+    """Length of the longest proper prefix of a term of ``size`` bytes that is a level, or 0."""
+    level = FIRST_LEVEL
+    while 2 * level < size:
         level *= 2
-    return out
+    return level if level < size else 0
+
+
+# a term's occurrences and documents share one number
+_DOC = 1 << 40
 
 
 def _partial_counts(most: int):
@@ -61,38 +64,40 @@ def _partial_counts(most: int):
         [("level", pa.int32()), ("via", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())]
     )
 
-    def rows(level, via, lang, source, names, n, docs):
+    def rows(level, via, lang, source, names, both):
         k = len(names)
-        columns = ([level] * k, via, [lang] * k, [source] * k, names, n, docs)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        both = np.fromiter(both, np.int64, k)
+        columns = [pa.repeat(pa.scalar(level, pa.int32()), k), pa.array(via, pa.int32()), pa.repeat(lang, k), pa.repeat(source, k)]
+        columns += [pa.array(names, pa.binary()), pa.array(both % _DOC), pa.array(both // _DOC)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(frames):
-        occurrences: dict[tuple, Counter] = defaultdict(Counter)
-        documents: dict[tuple, Counter] = defaultdict(Counter)
+        below = [level_below(k) for k in range(256)]
+        counted: dict[tuple, Counter] = defaultdict(Counter)
         prefixes: dict[tuple, Counter] = defaultdict(Counter)
 
         def out():
-            for (lang, source), counts in occurrences.items():
-                held = documents[lang, source]
-                via = [levels_of(len(t))[-1] if len(t) > FIRST_LEVEL else 0 for t in counts]
-                yield rows(_TERM, via, lang, source, list(counts), list(counts.values()), [held[t] for t in counts])
-                yield rows(_GROUP, [0], lang, source, [b""], [0], [0])
+            for (lang, source), held in counted.items():
+                via = np.fromiter((below[len(t)] if len(t) < 256 else level_below(len(t)) for t in held), np.int32, len(held))
+                yield rows(_TERM, via, lang, source, list(held), held.values())
+                yield rows(_GROUP, [0], lang, source, [b""], [0])
             for (lang, level), held in prefixes.items():
-                via = level // 2 if level > FIRST_LEVEL else 0
-                yield rows(level, [via] * len(held), lang, "", list(held), [0] * len(held), list(held.values()))
-            for table in (occurrences, documents, prefixes):
-                table.clear()
+                via = np.full(len(held), level // 2 if level > FIRST_LEVEL else 0, np.int32)
+                yield rows(level, via, lang, "", list(held), (n * _DOC for n in held.values()))
+            counted.clear()
+            prefixes.clear()
 
         size = 0
         for batch in frames:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 words = terms(text)
+                held = counted[lang, source]
+                size -= len(held)
+                held.update(words)
                 distinct = set(words)
-                counts = occurrences[lang, source]
-                size -= len(counts)
-                counts.update(words)
-                size += len(counts)
-                documents[lang, source].update(distinct)
+                for word in distinct:
+                    held[word] += _DOC
+                size += len(held)
                 level = FIRST_LEVEL
                 while longer := [w for w in distinct if len(w) > level]:
                     held = prefixes[lang, level]
@@ -112,11 +117,14 @@ def _partial_counts(most: int):
 def partial_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The written table of per-task counts that the levels read."""
     named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
-    path = work_path(docs.sparkSession, "term-counts")
-    found = named.mapInArrow(_partial_counts(HELD), _COUNTS)
-    found.write.partitionBy("level").option("compression", "zstd").parquet(path)
-    # an empty table writes no folder of a level
-    return docs.sparkSession.read.schema(_COUNTS).option("basePath", path).parquet(path)
+    return _written(named.mapInArrow(_partial_counts(HELD), _COUNTS), "term-counts")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder; many short rows take a fraction of a checkpoint's room there."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _below(rows: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -129,19 +137,30 @@ def _below(rows: DataFrame, survivors: DataFrame) -> DataFrame:
 def refine(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, term, n, docs) of the complete terms whose prefixes all survive, still per task."""
     found = {r["level"] for r in counts.select("level").distinct().collect()}
-    survivors, before = None, None
+    # the empty prefix of the shortest terms and of the first level survives in any case
+    survivors = counts.filter(F.col("level") == _GROUP).select("lang", F.lit(0).alias("level"), "term").distinct()
     for level in sorted(x for x in found if x >= FIRST_LEVEL):
         rows = counts.filter(F.col("level") == level)
-        if before is not None:
-            rows = _below(rows, before)
+        if level > FIRST_LEVEL:
+            rows = _below(rows, survivors.filter(F.col("level") == level // 2))
         held = rows.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-        before = freeze(held.select("lang", F.lit(level).alias("level"), "term"))
-        survivors = before if survivors is None else survivors.union(before)
-    complete = counts.filter(F.col("level") == _TERM)
-    short = complete.filter("via = 0")
-    if survivors is None:
-        return short.select("lang", "source", "term", "n", "docs")
-    return short.union(_below(complete.filter("via > 0"), survivors)).select("lang", "source", "term", "n", "docs")
+        survivors = survivors.union(freeze(held.select("lang", F.lit(level).alias("level"), "term")))
+    return _below(counts.filter(F.col("level") == _TERM), survivors).select("lang", "source", "term", "n", "docs")
+
+
+def kept_counts(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, term, n, lang_n, first) of kept terms; ``first`` is true for one source of each term of a language.
+
+    The rows are dealt by language and term once, which serves the sums by source and those by language.
+    """
+    by_term = Window.partitionBy("lang", "term")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = refine(counts, min_docs).repartition(parts, "lang", "term")
+    grouped = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    summed = grouped.withColumns(
+        {"lang_n": F.sum("n").over(by_term), "all_docs": F.sum("docs").over(by_term), "first": F.row_number().over(by_term.orderBy("source")) == 1}
+    )
+    return summed.filter(F.col("all_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n", "first")
 
 
 def _share(count: str, total: str) -> F.Column:
@@ -200,13 +219,9 @@ def audit(
     documents of their own. An empty table gives no rows; other columns are neither read nor returned.
     """
     counts = partial_counts(docs, text, lang, source)
-    grouped = refine(counts, min_docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    grouped = freeze(grouped)
-    of_term = grouped.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    of_term = freeze(of_term.filter(F.col("docs") >= min_docs).drop("docs"))
-    held = freeze(grouped.drop("docs").join(of_term, ["lang", "term"]))
-
-    of_lang = of_term.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("kept"))
+    held = _written(kept_counts(counts, min_docs), "kept-terms")
+    one_each = held.filter("first")
+    of_lang = one_each.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("kept"))
     of_group = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.filter(F.col("level") == _GROUP).select("lang", "source").distinct()
     groups = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["total", "lang_total", "kept"])
@@ -219,7 +234,7 @@ def audit(
     shares = held.join(constants, ["lang", "source"]).withColumns({"share": _share("n", "total"), "lang_share": _share("lang_n", "lang_total")})
 
     bucket = F.pmod(F.xxhash64("term"), F.col("blocks"))
-    sizes = of_term.join(broadcast_if_small(groups.select("lang", "blocks").distinct()), "lang")
+    sizes = one_each.join(broadcast_if_small(groups.select("lang", "blocks").distinct()), "lang")
     sizes = sizes.groupBy("lang", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
     absent = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     absent = absent.join(sizes, ["lang", "bucket"], "left").select(

@@ -162,7 +162,7 @@ def test_divergence_equals_brute_force(spark, monkeypatch, terms, sources, held)
     monkeypatch.setattr(divergence, "BLOCK_SOURCES", sources)
     monkeypatch.setattr(divergence, "HELD", held)
     rng = random.Random(8)
-    stems = ["a", "ab", "abcd", "abcde", "abcdefgh", "abcdefghi", "Élan", "éléphant" * 3, "x" * 16, "x" * 17, "x" * 40, "straße"]
+    stems = ["a", "ab", "abcd", "abcde", "abcdefgh", "abcdefghi", "abcdefghijk", "Élan", "éléphant" * 3, "x" * 16, "x" * 17, "x" * 40, "straße"]
     rows = []
     for i in range(120):
         words = [rng.choice(stems) + rng.choice(["", "", "q", "Z", "é", f"{'r' * rng.randrange(40)}"]) for _ in range(rng.randrange(12))]
@@ -178,7 +178,7 @@ def test_divergence_of_odd_rows(spark):
 
 
 def test_prefixes_are_discarded_before_terms(spark):
-    rows = [(i, "common" + chr(97 + i) * 20 + " shared", "en", "s") for i in range(9)] + [(9, "shared rarely", "en", "t")]
+    rows = [(i, "common" + chr(97 + i) * 20 + " shared", "en", "s") for i in range(9)] + [(9, "shared rarelyfound", "en", "t")]
     counts = divergence.partial_counts(frame(spark, rows))
     left = {(bytes(r["term"]), r["docs"]) for r in divergence.refine(counts).groupBy("term").agg(F.sum("docs").alias("docs")).collect()}
     # the nine long terms part at their eighth byte
