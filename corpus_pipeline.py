@@ -15,6 +15,8 @@ from loomstat.plans.scratch import freeze, work_path
 from loomstat.plans.ship import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# a passage of over 50 words has this many bytes unless its words are shorter than four letters
+PASSAGE_BYTES = 240
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -43,9 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that occur elsewhere are cut from the texts; all documents stay."""
+    """Bytes of passages of ``PASSAGE_BYTES`` or more that occur elsewhere are cut from the texts; all documents stay."""
     ship(spark)
-    cut = suffixdedup.without_repeats(docs.select(*COLUMNS))
+    cut = suffixdedup.without_repeats(docs.select(*COLUMNS), length=PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
