@@ -8,7 +8,6 @@ not log probabilities (a merge vocabulary scores by rank), a piece of rank r get
 from __future__ import annotations
 
 import math
-import re
 from array import array
 
 import numpy as np
@@ -16,17 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.llm.text import batches, texts
+
 MARK = "▁"
 _MARK = MARK.encode()
 # log score that every piece costs beside its rank
 LENGTH_COST = 3.0
 # log score of one fallback byte; below that of any piece
 BYTE_SCORE = -25.0
-# segmented words that a task remembers, and the characters of the longest one
-MEMORY = 200_000
-REMEMBERED_CHARS = 32
-# a unit is a run of markers and what follows: no piece has a marker after another character
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+# segmented units that a Python worker remembers, twice over, and the bytes of the longest one
+MEMORY = 100_000
+REMEMBERED_BYTES = 48
+# units whose places are walked together
+TOGETHER = 8192
+# bytes of a unit whose paths are held at once
+BLOCK_BYTES = 1 << 16
 
 
 class Trie:
@@ -70,8 +73,9 @@ class Trie:
                 base.extend([0] * grow)
                 check.extend([-1] * grow)
                 value.extend([-1] * grow)
-        # node k has child base[k] + byte + 1 if check there is k; value is the piece that ends, or -1
-        self.base, self.check, self.value = base.tolist(), check.tolist(), value.tolist()
+        # node k has child base[k] + byte if check there is k; value is the piece that ends, or -1
+        self.base, self.check, self.value = [b + 1 for b in base], check.tolist(), value.tolist()
+        self.base_array, self.check_array, self.value_array = (np.array(x, np.int32) for x in (self.base, self.check, self.value))
 
 
 class Vocabulary:
@@ -81,6 +85,7 @@ class Vocabulary:
         self.pieces = [p for p, _ in pieces]
         self.scores = [s for _, s in pieces]
         self.byte_ids = byte_ids
+        self.score_array, self.byte_array = np.array(self.scores, np.float64), np.array(byte_ids, np.int32)
         self.byte_of = {number: b for b, number in enumerate(byte_ids)}
         special = set(byte_ids) | set(range(first_real))
         usable = [(p.encode(), k) for k, (p, _) in enumerate(pieces) if k not in special]
@@ -88,6 +93,12 @@ class Vocabulary:
             raise ValueError("a piece has a marker after another character")
         self.trie = Trie(usable)
         self.bytes = [b"" if k in special else p.encode().replace(_MARK, b" ") for k, p in enumerate(self.pieces)]
+        for number, b in self.byte_of.items():
+            self.bytes[number] = bytes([b])
+        self.longest = max((len(p) for p, _ in usable), default=1)
+        self.literal = array("i", [byte_ids[b] for b in _MARK]).tobytes()
+        self.memory: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -109,103 +120,218 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte pieces")
         return cls(pieces, byte_ids, real)
 
-    def best(self, unit: str) -> list[int]:
-        """Pieces of the highest total score (Viterbi); of equal ones, that with the longest last piece."""
-        text = unit.encode("utf-8", "surrogatepass")
+    def __getstate__(self):
+        return self.__dict__ | {"memory": {}, "before": {}}
+
+    def _forward(self, text: bytes, begin: int, end: int, score: list[float]):
+        """Best scores and last pieces of the places after ``begin`` that steps from places before ``end`` reach.
+
+        ``score`` holds those of ``begin`` and the ``longest`` places after it. A place without a better step has no piece (-1).
+        """
         n = len(text)
-        score = [-math.inf] * (n + 1)
-        score[0] = 0.0
-        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        size = min(n, end + self.longest) - begin + 1
+        score = score[:size] + [-math.inf] * (size - len(score))
+        length, number = [0] * size, [-1] * size
         scores, trie, byte_ids = self.scores, self.trie, self.byte_ids
         base, check, value = trie.base, trie.check, trie.value
-        for at in range(n):
-            here = score[at]
+        for at in range(begin, end):
+            here = score[at - begin]
             if here == -math.inf:
                 continue
             step = here + BYTE_SCORE
-            if step > score[at + 1]:
-                score[at + 1], came[at + 1] = step, (at, byte_ids[text[at]])
-            node = 0
-            for end in range(at, n):
-                following = base[node] + text[end] + 1
+            to = at - begin + 1
+            if step > score[to]:
+                score[to], length[to], number[to] = step, 1, byte_ids[text[at]]
+            node, to = 0, at - begin
+            for byte in text[at : at + self.longest]:
+                following = base[node] + byte
                 if check[following] != node:
                     break
                 node = following
-                number = value[node]
-                if number >= 0:
-                    step = here + scores[number]
-                    if step > score[end + 1]:
-                        score[end + 1], came[end + 1] = step, (at, number)
-        out = []
+                to += 1
+                piece = value[node]
+                if piece >= 0:
+                    step = here + scores[piece]
+                    if step > score[to]:
+                        score[to], length[to], number[to] = step, to - at + begin, piece
+        return score, length, number
+
+    def best_bytes(self, unit: bytes) -> bytes:
+        """As :meth:`best`, of UTF-8 bytes, as 32-bit numbers.
+
+        A long unit is walked in blocks of which only the scores at the borders are kept; going back from the end, each
+        block's steps are found again. So memory does not grow with the paths.
+        """
+        n = len(unit)
+        starts, entries = [], []
+        score = [0.0]
+        for begin in range(0, n, BLOCK_BYTES):
+            starts.append(begin)
+            entries.append(score)
+            if begin + BLOCK_BYTES < n:
+                score = self._forward(unit, begin, begin + BLOCK_BYTES, score)[0][BLOCK_BYTES:]
+        out = array("i")
         at = n
-        while at:
-            at, number = came[at]
-            out.append(number)
+        while starts:
+            begin = starts.pop()
+            _, length, number = self._forward(unit, begin, min(n, begin + BLOCK_BYTES), entries.pop())
+            # a place reached from an earlier block has no piece here
+            while at > begin and number[at - begin] >= 0:
+                out.append(number[at - begin])
+                at -= length[at - begin]
         out.reverse()
-        return out
+        return out.tobytes()
+
+    def best_many(self, units: list[bytes]) -> list[bytes]:
+        """:meth:`best_bytes` of many short units, whose places are walked side by side."""
+        order = sorted(range(len(units)), key=lambda k: -len(units[k]))
+        sizes = np.array([len(units[k]) for k in order])
+        n, width = len(order), int(sizes[0])
+        grid = np.frombuffer(b"".join(units[k].ljust(width, b"\0") for k in order), np.uint8).reshape(n, width).astype(np.int32)
+        base, check, value, scores, byte_ids = self.trie.base_array, self.trie.check_array, self.trie.value_array, self.score_array, self.byte_array
+        # units from the longest to the shortest: those beyond a place are the first ones
+        beyond = [int(np.searchsorted(-sizes, -at, side="left")) for at in range(width + 1)]
+        score = np.full((n, width + 1), -np.inf)
+        score[:, 0] = 0.0
+        length, number = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        for at in range(width):
+            k = beyond[at]
+            step = score[:k, at] + BYTE_SCORE
+            better = np.flatnonzero(step > score[:k, at + 1])
+            score[better, at + 1], length[better, at + 1], number[better, at + 1] = step[better], 1, byte_ids[grid[better, at]]
+            row, node = np.arange(k), np.zeros(k, np.int32)
+            for to in range(at + 1, width + 1):
+                inside = int(np.searchsorted(row, beyond[to - 1]))
+                row, node = row[:inside], node[:inside]
+                following = base[node] + grid[row, to - 1]
+                there = check[following] == node
+                row, node = row[there], following[there]
+                if not len(row):
+                    break
+                piece = value[node]
+                ends = piece >= 0
+                whole, piece = row[ends], piece[ends]
+                step = score[whole, at] + scores[piece]
+                better = step > score[whole, to]
+                whole = whole[better]
+                score[whole, to], length[whole, to], number[whole, to] = step[better], to - at, piece[better]
+        # back from the ends, all units a piece at a time
+        out, used = np.zeros((n, width), np.int32), np.zeros(n, np.int64)
+        row, at = np.arange(n), sizes.copy()
+        while len(row):
+            used[row] += 1
+            out[row, width - used[row]] = number[row, at]
+            at = at - length[row, at]
+            row, at = row[at > 0], at[at > 0]
+        raw, found = out.tobytes(), [b""] * n
+        for place, k in enumerate(order):
+            found[k] = raw[4 * (width * (place + 1) - int(used[place])) : 4 * width * (place + 1)]
+        return found
 
-    def encode(self, text: str, memory: dict[str, list[int]] | None = None) -> list[int]:
+    def best(self, unit: str) -> list[int]:
+        """Pieces of the highest total score (Viterbi); of equal ones, that with the longest last piece."""
+        return np.frombuffer(self.best_bytes(unit.encode()), np.int32).tolist()
+
+    def encode_batch(self, batch: list[bytes]) -> list[bytes]:
+        """As :meth:`encode`, of UTF-8 bytes, as 32-bit numbers; each distinct unit of the batch is segmented once."""
+        split = [_units(text) for text in batch]
+        found = {_LITERAL: self.literal}
+        missing = []
+        if len(self.memory) >= MEMORY:
+            self.memory, self.before = {}, self.memory
+        for unit in set().union(*split):
+            known = self.memory.get(unit)
+            if known is None and (known := self.before.get(unit)) is not None:
+                self.memory[unit] = known
+            if known is not None:
+                found[unit] = known
+            elif len(unit) > REMEMBERED_BYTES or not unit:
+                # long units (texts without spaces) rarely come again
+                found[unit] = self.best_bytes(_marked(unit))
+            elif unit != _LITERAL:
+                missing.append(unit)
+        for begin in range(0, len(missing), TOGETHER):
+            part = missing[begin : begin + TOGETHER]
+            new = dict(zip(part, self.best_many([_marked(u) for u in part]), strict=True))
+            found |= new
+            if len(self.memory) < MEMORY:
+                self.memory |= new
+        return [b"".join(map(found.__getitem__, units)) for units in split]
+
+    def encode(self, text: str) -> list[int]:
         """Piece numbers of a text: spaces become markers and one marker leads a text that is not empty."""
-        if not text:
-            return []
-        memory = {} if memory is None else memory
-        out: list[int] = []
-        literal: list[int] = [self.byte_ids[b] for b in _MARK]
-        for k, line in enumerate(text.split(MARK)):
-            # a marker of the text itself is three bytes, so that decoding is exact
-            if k:
-                out += literal
-            marked = line.replace(" ", MARK) if k else MARK + line.replace(" ", MARK)
-            for unit in _UNIT.findall(marked):
-                found = memory.get(unit)
-                if found is None:
-                    found = self.best(unit)
-                    # long units (texts without spaces) rarely come again and would fill the memory
-                    if len(unit) <= REMEMBERED_CHARS:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        memory[unit] = found
-                out += found
-        return out
+        return np.frombuffer(self.encode_batch([text.encode()])[0], np.int32).tolist()
+
+    def decode_bytes(self, numbers: list[int]) -> bytes:
+        """The text of piece numbers in bytes; markers are spaces, and the leading one goes."""
+        return b"".join(map(self.bytes.__getitem__, numbers))[1:]
 
     def decode(self, numbers: list[int]) -> str:
-        """The text of piece numbers; markers are spaces, and the leading one goes."""
-        raw = b"".join(bytes([self.byte_of[n]]) if n in self.byte_of else self.bytes[n] for n in numbers)
-        return raw[1:].decode("utf-8", "replace")
+        """The text of piece numbers."""
+        return self.decode_bytes(numbers).decode("utf-8", "replace")
+
+
+# bytes that no UTF-8 text has: a marker that the text itself holds, and the lead of a unit without a marker
+_LITERAL, _BARE = b"\xfe", b"\xff"
+
+
+def _words(line: bytes) -> list[bytes]:
+    """What follows each marker, or several of them, once one leads the line: of k markers, k - 1 are spaces here."""
+    words = line.split(b" ")
+    if b"" not in words:
+        return words
+    out, before = [], b""
+    for word in words:
+        if word:
+            out.append(before + word)
+            before = b""
+        else:
+            before += b" "
+    return out + [before[1:]] if before else out
+
+
+def _units(text: bytes) -> list[bytes]:
+    """The parts of a text that are segmented one by one, since no piece has a marker after another character."""
+    if not text:
+        return []
+    if _MARK not in text:
+        return _words(text)
+    first, *others = text.split(_MARK)
+    out = _words(first)
+    for line in others:
+        # a marker of the text itself is three bytes, so that decoding is exact, and no marker leads what follows
+        head, space, rest = line.partition(b" ")
+        out += [_LITERAL] + [_BARE + head] * bool(head) + (_words(rest) if space else [])
+    return out
+
+
+def _marked(unit: bytes) -> bytes:
+    return unit[1:] if unit.startswith(_BARE) else _MARK + unit.replace(b" ", _MARK)
 
 
 def _encode(shared):
     def run(frames):
+        # the memory stays with the broadcast value for the tasks of a worker
         vocabulary = shared.value
-        # freed with the task: worker processes live on and would each hold their own
-        memory: dict[str, list[int]] = {}
         is_byte = np.zeros(len(vocabulary.pieces), bool)
         is_byte[vocabulary.byte_ids] = True
         for batch in frames:
-            # long texts are passed on as they are done, so that a batch of lists stays small
-            keys, numbers, fallback, exact, size = [], [], [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = vocabulary.encode(text or "", memory)
-                coded = np.array(found, np.int32)
-                keys.append(key)
-                numbers.append(coded)
-                fallback.append(int(is_byte[coded].sum()) if len(coded) else 0)
-                exact.append(vocabulary.decode(found) == (text or ""))
-                size += len(coded)
-                if size > 2_000_000:
-                    yield _rows(batch.column(0).type, keys, numbers, fallback, exact)
-                    keys, numbers, fallback, exact, size = [], [], [], [], 0
-            if keys:
-                yield _rows(batch.column(0).type, keys, numbers, fallback, exact)
+            for begin, end in batches(batch.column(1), 1 << 22):
+                part = batch.slice(begin, end - begin)
+                whole = texts(part.column(1))
+                numbers = [np.frombuffer(coded, np.int32) for coded in vocabulary.encode_batch(whole)]
+                fallback = [int(is_byte[coded].sum()) for coded in numbers]
+                exact = [vocabulary.decode_bytes(coded.tolist()) == text for coded, text in zip(numbers, whole, strict=True)]
+                yield _rows(part.column(0), numbers, fallback, exact)
 
     return run
 
 
-def _rows(kind, keys, numbers, fallback, exact):
+def _rows(keys, numbers, fallback, exact):
     ends = np.concatenate(([0], np.cumsum([len(n) for n in numbers]))).astype(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers), pa.int32()))
     return pa.RecordBatch.from_arrays(
-        [pa.array([k.as_py() for k in keys], kind), ids, pa.array(fallback, pa.int64()), pa.array(exact, pa.bool_())],
+        [keys, ids, pa.array(fallback, pa.int64()), pa.array(exact, pa.bool_())],
         names=["key", "piece_ids", "n_bytes", "exact"],
     )
 

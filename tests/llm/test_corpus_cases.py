@@ -378,6 +378,47 @@ def test_pieces_round_trip(text):
     assert v.decode(v.encode(text)) == text
 
 
+@given(st.text("aaab ▁é", max_size=60), st.integers(1, 7))
+@settings(max_examples=150, deadline=None)
+def test_long_units_in_blocks(text, block):
+    """Blocks of any size give the segmentation of the whole."""
+    whole = vocabulary().encode(text)
+    before = pieces.BLOCK_BYTES
+    try:
+        pieces.BLOCK_BYTES = block
+        assert vocabulary().encode(text) == whole
+    finally:
+        pieces.BLOCK_BYTES = before
+
+
+def test_memory_is_bounded_and_of_no_effect(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 5)
+    v, rng = vocabulary(), random.Random(3)
+    for _ in range(50):
+        text = " ".join("".join(rng.choices("abé", k=rng.randrange(4))) for _ in range(20))
+        assert v.encode(text) == vocabulary().encode(text)
+        # a batch is added as a whole
+        assert len(v.memory) <= 5 + 20 and len(v.before) <= 5 + 20
+
+
+@given(st.lists(st.text("aab▁é", min_size=1, max_size=20), min_size=1, max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_units_side_by_side(units):
+    v = vocabulary()
+    raw = [u.encode() for u in units]
+    assert v.best_many(raw) == [v.best_bytes(u) for u in raw]
+
+
+def test_unit_of_megabytes_in_flat_memory():
+    import tracemalloc
+
+    v = vocabulary()
+    tracemalloc.start()
+    assert len(v.encode("ab" * 500_000)) == 500_001
+    assert tracemalloc.get_traced_memory()[1] < 24_000_000
+    tracemalloc.stop()
+
+
 def test_pieces_cases(spark, odd, none):
     v = vocabulary()
     coded = pieces.encode(odd, v)

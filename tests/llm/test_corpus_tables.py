@@ -157,7 +157,7 @@ def test_pipeline_stages_one_after_another(spark, docs, tables):
     roots = brute_components({k: brute_fingerprint(t) for k, t in texts.items()})
     texts = {k: t for k, t in texts.items() if roots[k] == k}
     keys = sorted(texts)
-    flags = brute_cuts([texts[k].encode() for k in keys], 400)
+    flags = brute_cuts([texts[k].encode() for k in keys], corpus_pipeline.PASSAGE_BYTES)
     for k, marks in zip(keys, flags, strict=True):
         texts[k] = bytes(b for b, f in zip(texts[k].encode(), marks, strict=True) if not f).decode("utf-8", "ignore")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
