@@ -8,6 +8,7 @@ from loomstat.catalog.registry import Tables, query, r
 from loomstat.functions import calendar as cal
 from loomstat.functions import geo, signal, text
 from loomstat.functions.zones import resolve_zone
+from loomstat.operators.nested import flatten_discovered
 from loomstat.operators.quality import flatten_nested, series_to_rows
 
 
@@ -200,6 +201,38 @@ def f16(t: Tables):
     return flatten_nested(nested)
 
 
+@query(
+    "f16_nested_keys",
+    """SELECT event_id, json_extract(props, '$.k')::BIGINT AS props_k,
+       CASE WHEN event_type = 'click' THEN value END AS m_click, CASE WHEN event_type = 'error' THEN value END AS m_error,
+       CASE WHEN event_type = 'purchase' THEN value END AS m_purchase, CASE WHEN event_type = 'signup' THEN value END AS m_signup,
+       CASE WHEN event_type = 'view' THEN value END AS m_view,
+       CASE WHEN event_id % 3 = 0 THEN event_id // 2 ELSE user_id END::DOUBLE AS j_n,
+       CASE WHEN event_id % 3 = 0 THEN event_type ELSE (user_id % 4)::VARCHAR END AS j_either,
+       CASE WHEN event_id % 2 = 0 THEN user_id % 7 END AS j_who_day,
+       CASE WHEN event_id % 2 = 0 THEN '' || user_id % 5 || ',-' ELSE '-,-' END AS j_parts_p,
+       CASE WHEN event_id % 2 = 0 THEN '-,' || event_type ELSE event_type || ',' || event_type END AS j_parts_q
+       FROM events""",
+)
+def f16n(t: Tables):
+    """JSON text, a map by event type and made JSON whose keys and kinds vary by row."""
+    whole = F.expr("event_id % 2 = 0")
+    number = F.when(F.expr("event_id % 3 = 0"), F.concat((F.expr("event_id div 2")).cast("string"), F.lit(".0"))).otherwise(F.col("user_id").cast("string"))
+    either = F.when(F.expr("event_id % 3 = 0"), F.to_json(F.array("event_type"))).otherwise(F.format_string("[%d]", F.expr("user_id % 4")))
+    parts = F.when(whole, F.format_string('[{"p":%d},{"q":"%s"}]', F.expr("user_id % 5"), "event_type")).otherwise(
+        F.format_string('[{"q":"%s"},{"q":"%s"}]', "event_type", "event_type")
+    )
+    who = F.when(whole, F.format_string('{"day":%d}', F.expr("user_id % 7"))).otherwise(F.lit("{}"))
+    text = F.concat(
+        F.lit('{"n":'), number, F.lit(',"either":'), F.regexp_replace(either, r"^\[|\]$", ""), F.lit(',"parts":'), parts, F.lit(',"who":'), who, F.lit("}")
+    )
+    flat = flatten_discovered(
+        t.events.select("event_id", "props", F.create_map("event_type", "value").alias("m"), text.alias("j")), ["props", "j"], sep="_"
+    )
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), ",", "-") for c in ("j_parts_p", "j_parts_q")}
+    return flat.withColumns(joined)
+
+
 @query(
     "f17_series_to_rows",
     """SELECT c_custkey, 'c_acctbal' AS "index", c_acctbal AS "values" FROM customer
