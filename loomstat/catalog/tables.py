@@ -277,7 +277,7 @@ def j4(t: Tables):
         F.concat(F.lit("S"), "s_nationkey").alias("state"),
         F.expr(f"double({PLACE[0]})").alias("lon"), F.expr(f"double({PLACE[1]})").alias("lat"),
     )
-    near = nearest_place(points, places, 1500, first_km=400)
+    near = nearest_place(points, places, 1500)
     return near.select("c_custkey", "place", r("km", 4).alias("km"))
 
 

@@ -1,4 +1,4 @@
-"""Nearest place within a distance, through a lon/lat grid."""
+"""Nearest place within a distance, through a tree of lon/lat cells or a grid."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.geo import EARTH_RADIUS_KM, haversine_km
+from loomstat.operators.quadtree import candidates
 from loomstat.plans.keys import cols, q
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
@@ -62,7 +63,11 @@ def _nearest_within(points: DataFrame, places: DataFrame, km: float) -> DataFram
     """Add ``__best`` (distance, place id, label), NULL when no place is within ``km``."""
     size = km * 1.0001 / KM_PER_DEGREE
     table = broadcast_if_small(_with_near_cells(places, size))
-    pairs = _with_cell(points, size).join(table, ["__row", "__cell"], "left")
+    return _best(_with_cell(points, size).join(table, ["__row", "__cell"], "left"), km)
+
+
+def _best(pairs: DataFrame, km: float) -> DataFrame:
+    """The nearest place of each spot as ``__best``; ties go to the smaller place id."""
     distance = haversine_km(F.col("__lon"), F.col("__lat"), F.col("__plon"), F.col("__plat"))
     hit = F.struct(distance.alias("d"), F.col("__place").alias("p"), F.col("__label").alias("l"))
     return pairs.groupBy("__lon", "__lat").agg(F.min(F.when(distance <= km, hit)).alias("__best"))
@@ -107,10 +112,12 @@ def nearest_place(
     """Add ``place`` ('City, ST'), ``place_id`` and ``km`` of the nearest place.
 
     Points farther than ``max_km`` from every place get NULL; ties go to the smaller place
-    id. Equal coordinates are searched once. The search starts on a fine grid of
-    ``first_km`` cells (unless given, at most a sixteenth of ``max_km`` and so fine that no cell holds many places), and repeats with
-    four times the radius for the coordinates that are still open, up to ``max_km``. A hit
-    within the radius of a round is the nearest place overall, so no later round can change it.
+    id. Equal coordinates are searched once, by descent in a tree of cells that are split where places crowd.
+
+    With ``first_km`` a plain grid is searched instead, which suits places that are spread evenly: from cells of that
+    size (0: the widest that hold few places each, at most a sixteenth of ``max_km``), with four times the radius for the
+    coordinates that are still open, up to ``max_km``. A hit within the radius of a round is the nearest place
+    overall, so no later round can change it.
     """
     spots = points.select(q(lon).cast("double").alias("__lon"), q(lat).cast("double").alias("__lat"))
     spots = spots.filter(F.col("__lon").isNotNull() & F.col("__lat").between(-90, 90)).distinct()
@@ -125,6 +132,18 @@ def nearest_place(
         F.min("__place").alias("__p"), F.min_by("__label", "__place").alias("__label")
     ).withColumnRenamed("__p", "__place")
     table = freeze(table)
+    found = _best(candidates(spots, table, max_km), max_km) if first_km is None else _by_grid(spots, table, max_km, first_km)
+    on = (q(lon).cast("double") == F.col("__lon")) & (q(lat).cast("double") == F.col("__lat"))
+    return points.join(found, on, "left").select(
+        *[points[f"`{c}`"] for c in points.columns],
+        F.col("__best.l").alias("place"),
+        F.col("__best.p").alias("place_id"),
+        F.col("__best.d").alias("km"),
+    )
+
+
+def _by_grid(spots: DataFrame, table: DataFrame, max_km: float, first_km: float) -> DataFrame:
+    """The nearest place of each spot in rounds of growing radius."""
     radius = min(first_km or _first_radius(table, max_km), max_km)
     found, todo = None, spots
     while True:
@@ -135,13 +154,6 @@ def nearest_place(
         done = tried.filter(F.col("__best").isNotNull())
         found = done if found is None else found.unionByName(done)
         if radius >= max_km:
-            break
+            return found
         todo = tried.filter(F.col("__best").isNull()).select("__lon", "__lat")
         radius = min(4 * radius, max_km)
-    on = (q(lon).cast("double") == F.col("__lon")) & (q(lat).cast("double") == F.col("__lat"))
-    return points.join(found, on, "left").select(
-        *[points[f"`{c}`"] for c in points.columns],
-        F.col("__best.l").alias("place"),
-        F.col("__best.p").alias("place_id"),
-        F.col("__best.d").alias("km"),
-    )
