@@ -56,16 +56,22 @@ def _of_level(number: Column, level: Column) -> Column:
     return F.call_function("shiftright", number, ((LEVELS - level) * 2 * STEP).cast("int"))
 
 
-def box_km(lon: Column, lat: Column, west: Column, east: Column, south: Column, north: Column) -> Column:
-    """Least distance from a spot to a box that does not cross the date line; 0 inside."""
-    here = _turned(lon)
-    turn = F.when(here.between(west, east), 0.0).otherwise(F.least(F.pmod(west - here, F.lit(360.0)), F.pmod(here - east, F.lit(360.0))))
-    beside = KM_PER_DEGREE * F.greatest(F.lit(0.0), south - lat, lat - north)
-    # on the nearer edge: at its ends, or where the edge's meridian is nearest
-    peak = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(F.radians(turn))))
-    zero = F.lit(0.0)
-    edge = F.least(*[haversine_km(zero, lat, turn, at) for at in (south, north, F.least(F.greatest(peak, south), north))])
-    return F.when(turn == 0, beside).otherwise(edge)
+def with_box_km(df: DataFrame, lon: str, lat: str, name: str) -> DataFrame:
+    """Add the least distance from a spot to the box (west, east, south, north), which does not cross the date line; 0 inside.
+
+    The steps are columns, so that each angle is found once per row.
+    """
+    here = _turned(F.col(lon))
+    west, east, south, north = (F.col(c) for c in ("west", "east", "south", "north"))
+    outside = F.least(F.pmod(west - here, F.lit(360.0)), F.pmod(here - east, F.lit(360.0)))
+    out = df.withColumn("__turn", F.when(here.between(west, east), 0.0).otherwise(outside))
+    # distance along the nearer edge falls towards one latitude on its meridian, seen around the poles
+    y, x = F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(F.radians("__turn"))
+    out = out.withColumn("__peak", F.when(F.col("__turn") == 0, F.col(lat)).otherwise(F.degrees(F.atan2(y, x))))
+    away = [F.abs(F.pmod(at - F.col("__peak") + 180, F.lit(360.0)) - 180) for at in (south, north)]
+    at = F.when(F.col("__peak").between(south, north), F.col("__peak")).when(away[0] < away[1], south).otherwise(north)
+    out = out.withColumn("__at", at)
+    return out.withColumn(name, haversine_km(F.lit(0.0), F.col(lat), F.col("__turn"), F.col("__at"))).drop("__turn", "__peak", "__at")
 
 
 def cells(places: DataFrame) -> DataFrame:
@@ -104,13 +110,13 @@ def candidates(spots: DataFrame, places: DataFrame, max_km: float) -> DataFrame:
         # leaves have no open cell, so they find no children and stay as they are
         joined = front.join(F.broadcast(step) if sizes[level] <= BROADCAST_CELLS else step, F.col("__open") == F.col("__parent"), "left")
         new = F.col("__cell").isNotNull()
-        bound = box_km(F.col("__lon"), F.col("__lat"), F.col("west"), F.col("east"), F.col("south"), F.col("north"))
+        joined = with_box_km(joined, "__lon", "__lat", "__bound")
         met = haversine_km(F.col("__lon"), F.col("__lat"), F.col("one.__plon"), F.col("one.__plat"))
         measured = joined.select(
             "__lon", "__lat", F.when(new & ~F.col("__ends"), F.col("__cell")).alias("__open"),
             F.when(new & F.col("__ends"), level).otherwise(F.col("__level")).alias("__level"),
             F.when(new & F.col("__ends"), F.col("__cell")).otherwise(F.col("__leaf")).alias("__leaf"),
-            F.when(new, bound).otherwise(F.col("__near")).alias("__near"),
+            F.when(new, F.col("__bound")).otherwise(F.col("__near")).alias("__near"),
             F.least("__far", F.min(F.when(new, met)).over(spot)).alias("__far"),
         )
         front = measured.filter(F.col("__near") <= F.col("__far") + SLACK_KM)

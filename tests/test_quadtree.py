@@ -30,11 +30,10 @@ def test_box_distance_is_the_least(spark):
         s, n = sorted(rng.uniform(-90, 90, 2))
         rows.append(tuple(map(float, (rng.uniform(-180, 180), rng.uniform(-90, 90), w, e, s, n))))
     rows += [(179.0, 10.0, -179.0, -170.0, 0.0, 5.0), (0.0, 90.0, 10.0, 20.0, -5.0, 5.0), (5.0, 5.0, 0.0, 10.0, 0.0, 10.0), (190.0, 0.0, -171.0, -169.0, -1.0, 1.0)]
-    frame = spark.createDataFrame(rows, "lon double, lat double, w double, e double, s double, n double")
-    found = frame.select("*", quadtree.box_km(*map(F.col, ("lon", "lat", "w", "e", "s", "n"))).alias("d")).collect()
-    for r in found:
-        grid = [km((r.lon, r.lat), (x, y)) for x in np.linspace(r.w, r.e, 25) for y in np.linspace(r.s, r.n, 25)]
-        step = max((r.e - r.w), (r.n - r.s)) / 24 * 111.2
+    frame = spark.createDataFrame(rows, "lon double, lat double, west double, east double, south double, north double")
+    for r in quadtree.with_box_km(frame, "lon", "lat", "d").collect():
+        grid = [km((r.lon, r.lat), (x, y)) for x in np.linspace(r.west, r.east, 25) for y in np.linspace(r.south, r.north, 25)]
+        step = max((r.east - r.west), (r.north - r.south)) / 24 * 111.2
         assert min(grid) - step <= r.d <= min(grid) + 1e-6
 
 
