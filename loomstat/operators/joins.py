@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.calendar import ntz_to_micros
-from loomstat.functions.zones import with_utc, zone_table
+from loomstat.functions.zones import with_utc_by_table, zone_table
 from loomstat.plans.keys import as_list, cols, q
 from loomstat.plans.limits import spread_small
 
@@ -110,7 +110,7 @@ def utc_candidates(df: DataFrame, ts: str, zone: str) -> DataFrame:
     """
     table = F.broadcast(zone_table(df.sparkSession))
     joined = spread_small(df).join(table, q(zone) == F.col("zone_text")).drop("zone_text")
-    out = with_utc(joined, q(ts), F.col("equivalent_zone"), "datetime_utc")
+    out = with_utc_by_table(joined, q(ts), F.col("equivalent_zone"), "datetime_utc")
     hours = (ntz_to_micros(q(ts)) - ntz_to_micros("datetime_utc")) / 3_600_000_000
     return out.withColumn("hrs_wrt_utc", hours.cast("int"))
 

@@ -89,7 +89,7 @@ def cells(places: DataFrame) -> DataFrame:
     split = counted.filter(F.col("n") > CROWD).select((F.col("level") + 1).alias("level"), F.col("cell").alias("parent"))
     below = counted.withColumn("parent", F.shiftright("cell", 2 * STEP))
     top = below.filter("level = 1")
-    out = top.unionByName(below.join(broadcast_if_small(split), ["level", "parent"], "left_semi"))
+    out = top.unionByName(below.join(split, ["level", "parent"], "left_semi"))
     return out.withColumn("leaf", (F.col("n") <= CROWD) | (F.col("level") == LEVELS))
 
 
@@ -124,5 +124,6 @@ def candidates(spots: DataFrame, places: DataFrame, max_km: float) -> DataFrame:
     at = F.explode(F.sequence(F.lit(1), F.lit(max(sizes, default=1)))).alias("__level")
     placed = places.withColumn("__number", cell_number(F.col("__plon"), F.col("__plat"))).select("*", at)
     placed = placed.withColumn("__leaf", _of_level(F.col("__number"), F.col("__level"))).drop("__number")
-    held = placed.join(broadcast_if_small(found), (F.col("__level") == F.col("__l")) & (F.col("__leaf") == F.col("__c"))).drop("__l", "__c")
+    few = sum(sizes.values()) <= BROADCAST_CELLS
+    held = placed.join(F.broadcast(found) if few else found, (F.col("__level") == F.col("__l")) & (F.col("__leaf") == F.col("__c"))).drop("__l", "__c")
     return front.select("__lon", "__lat", "__level", "__leaf").join(broadcast_if_small(held), ["__level", "__leaf"]).drop("__level", "__leaf")
