@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loomstat.llm.components import components
 from loomstat.llm.text import LOWER, row_id, texts
+from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
 
 SEED = 42
@@ -183,14 +184,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each near-duplicate component of ``docs`` with the smallest key.
 
-    Rows of one key are told apart by their texts, in order of their ``row_id``; equal rows stay together.
-    Rows without a key come after all others: they stay if their component has no keyed row, and of equal
-    ones a single row does.
+    Rows of one key are told apart by their texts, in order of their ``row_id``. Rows without a key come after all
+    others: they stay if their component has no keyed row. Of rows that agree in key and text one stays, whichever it is;
+    only such rows are shuffled with their texts. NULL and empty texts link like any other. An empty table gives no rows.
     """
     own = row_id(F.col(key), F.col(text))
     ordered = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), own.alias("id")).alias("__row"), text)
     found = near_duplicates(ordered, "__row", text)
-    gone = found.filter(F.col("__row.id") != F.col("component_id.id")).select(F.col("__row.id").alias("__gone"))
-    kept = docs.withColumn("__id", own).join(freeze(gone.distinct()), F.col("__id") == F.col("__gone"), "left_anti")
-    keyed, others = kept.filter(F.col(key).isNotNull()), kept.filter(F.col(key).isNull()).dropDuplicates(["__id"])
-    return keyed.union(others).drop("__id")
+    judged = found.groupBy(F.col("__row.id").alias("__of")).agg(
+        F.max(F.col("__row.id") != F.col("component_id.id")).alias("__gone"), (F.count(F.lit(1)) > 1).alias("__again")
+    )
+    judged = freeze(judged.filter("__gone OR __again"))
+    gone, again = (broadcast_if_small(judged.filter(c).select("__of")) for c in ("__gone", "__again AND NOT __gone"))
+    named = docs.withColumn("__id", own)
+    kept = named.join(gone, F.col("__id") == F.col("__of"), "left_anti")
+    single = kept.join(again, F.col("__id") == F.col("__of"), "left_anti")
+    several = named.join(again, F.col("__id") == F.col("__of"), "left_semi").dropDuplicates(["__id"])
+    return single.union(several).drop("__id")
