@@ -32,34 +32,49 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters go, whatever could be learned; no prediction or score rejects a text."""
+    """Texts without letters go, whatever could be learned; a NULL lang becomes the language that the text is found to be in.
+
+    Rows of a NULL doc_id are judged like all others, equal rows alike; a lang that is there stays. Without any labelled text
+    NULL langs stay NULL. An empty table gives no rows.
+    """
     ship(spark)
     model = langid.learn(docs, fold(F.col("doc_id"), 5) != 0)
-    return _without(docs, langid.identify(_named(docs), model, "row").filter("NOT has_letter"))
+    kept = _without(docs, langid.identify(_named(docs), model, "row").filter("NOT has_letter"))
+    found = langid.identify(_named(kept.filter("lang IS NULL")), model, "row").filter(F.col("lang_pred") != langid.UNKNOWN)
+    found = freeze(found.select(F.col("row").alias("__of"), "lang_pred").distinct())
+    own = row_id(kept["doc_id"], kept["text"])
+    named = kept.join(broadcast_if_small(found), own == F.col("__of"), "left")
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
+    """The document with the smallest doc_id of each group stays, and one of rows that agree in doc_id and text.
+
+    NULL doc_ids come last in their group, NULL and empty texts are a group; an empty table gives no rows.
+    """
     ship(spark)
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of ``PASSAGE_BYTES`` or more that occur elsewhere are cut from the texts; all documents stay."""
+    """Bytes of passages of ``PASSAGE_BYTES`` or more that occur elsewhere are cut from the texts; all documents stay.
+
+    All places of a passage are cut, those in equal rows too. NULL and empty texts stay as they are; an empty table gives no rows.
+    """
     ship(spark)
     cut = suffixdedup.without_repeats(docs.select(*COLUMNS), length=PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, the others stay as they are."""
+    """Contaminated documents go, the others stay as they are, NULL and empty texts too; equal rows are judged alike."""
     ship(spark)
     found = decontam.find_contamination(_named(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
     return _without(docs, found.filter("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece numbers per document."""
+    """Piece numbers per document, a row for every row; NULL and empty texts have none."""
     ship(spark)
     return pieces.encode(docs, pieces.Vocabulary.load(pieces.vocabulary_path(spark)))
 
