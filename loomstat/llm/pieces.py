@@ -24,9 +24,10 @@ LENGTH_COST = 3.0
 # log score of one fallback byte; below that of any piece
 BYTE_SCORE = -25.0
 # segmented units that a Python worker remembers, twice over, and the bytes of the longest one
-MEMORY = 100_000
+MEMORY = 50_000
 REMEMBERED_BYTES = 48
-# units whose places are walked together
+# bytes of texts whose units are looked up together (or one longer text), and units whose places are walked together
+BATCH_BYTES = 1 << 20
 TOGETHER = 8192
 # bytes of a unit whose paths are held at once
 BLOCK_BYTES = 1 << 16
@@ -74,8 +75,11 @@ class Trie:
                 check.extend([-1] * grow)
                 value.extend([-1] * grow)
         # node k has child base[k] + byte if check there is k; value is the piece that ends, or -1
-        self.base, self.check, self.value = [b + 1 for b in base], check.tolist(), value.tolist()
-        self.base_array, self.check_array, self.value_array = (np.array(x, np.int32) for x in (self.base, self.check, self.value))
+        self.base, self.check, self.value = array("i", [b + 1 for b in base]), check, value
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """The three arrays for NumPy, without a copy."""
+        return tuple(np.frombuffer(x, np.int32) for x in (self.base, self.check, self.value))
 
 
 class Vocabulary:
@@ -188,7 +192,8 @@ class Vocabulary:
         sizes = np.array([len(units[k]) for k in order])
         n, width = len(order), int(sizes[0])
         grid = np.frombuffer(b"".join(units[k].ljust(width, b"\0") for k in order), np.uint8).reshape(n, width).astype(np.int32)
-        base, check, value, scores, byte_ids = self.trie.base_array, self.trie.check_array, self.trie.value_array, self.score_array, self.byte_array
+        base, check, value = self.trie.arrays()
+        scores, byte_ids = self.score_array, self.byte_array
         # units from the longest to the shortest: those beyond a place are the first ones
         beyond = [int(np.searchsorted(-sizes, -at, side="left")) for at in range(width + 1)]
         score = np.full((n, width + 1), -np.inf)
@@ -316,7 +321,7 @@ def _encode(shared):
         is_byte = np.zeros(len(vocabulary.pieces), bool)
         is_byte[vocabulary.byte_ids] = True
         for batch in frames:
-            for begin, end in batches(batch.column(1), 1 << 22):
+            for begin, end in batches(batch.column(1), BATCH_BYTES):
                 part = batch.slice(begin, end - begin)
                 whole = texts(part.column(1))
                 numbers = [np.frombuffer(coded, np.int32) for coded in vocabulary.encode_batch(whole)]

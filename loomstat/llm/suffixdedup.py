@@ -34,8 +34,8 @@ GRAM = 64
 # bytes hashed and sorted at once; a longer text is one piece
 PIECE_BYTES = 1 << 16
 # bytes of runs searched at once (or the runs of one anchor), and of texts cut at once
-BLOCK_BYTES = 1 << 19
-CUT_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 18
+CUT_BYTES = 1 << 20
 # different runs of one anchor that go to one task
 ANCHOR_RUNS = 4096
 _PLACE_BITS = np.uint64(28)
