@@ -145,6 +145,19 @@ def o2(t: Tables):
     return ordering.order_by_list(suppliers, "s_suppkey", list(range(suppliers.count()))[::-1])
 
 
+@query(
+    "o2_order_table",
+    """SELECT c_custkey, (c_custkey - lowest) * 7919 % n AS rank
+       FROM customer, (SELECT min(c_custkey) AS lowest, count(*) AS n FROM customer)""",
+)
+def o2t(t: Tables):
+    """An order as long as the table, itself a table."""
+    n, lowest = t.customer.agg(F.count(F.lit(1)), F.min("c_custkey")).first()
+    customers = t.customer.select("c_custkey", (F.col("c_custkey") - lowest).alias("i"))
+    order = customers.select(F.col("i").alias("position"), (F.col("i") * 7919 % n).alias("rank"))
+    return ordering.order_by_list(customers, "i", order).select("c_custkey", "rank")
+
+
 @query(
     "o3_first_per_group",
     """SELECT user_id, event_id, event_type FROM events

@@ -16,25 +16,37 @@ def sort_by(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     return df.orderBy(*[c.asc_nulls_last() for c in cols(as_list(columns))])
 
 
-def order_by_list(df: DataFrame, index: str, positions: Sequence[int]) -> DataFrame:
+def _permutation_size(df: DataFrame, column: str) -> int | None:
+    """The number n of rows if ``column`` holds each of 0 .. n - 1 once, else None."""
+    i = q(column)
+    n, distinct, low, high = df.agg(F.count(F.lit(1)), F.count_distinct(i), F.min(i), F.max(i)).first()
+    return n if distinct == n and (n == 0 or (low == 0 and high == n - 1)) else None
+
+
+def order_by_list(df: DataFrame, index: str, positions: Sequence[int] | DataFrame) -> DataFrame:
     """Rows in the order in which ``positions`` lists their ``index`` value.
 
     Every position from 0 to n - 1 must be listed once, and the frame must have each of them
-    once as ``index``. Adds ``rank``.
+    once as ``index``. Adds ``rank``. An order as long as a table is itself a table, with the columns
+    ``position`` and ``rank``, each from 0 to n - 1 once: both sides are checked by aggregates and joined, nothing of
+    them reaches the driver.
     """
-    n = len(positions)
-    if sorted(positions) != list(range(n)):
+    if isinstance(positions, DataFrame):
+        ranks = positions.select(F.col("position").cast("long").alias("__p"), F.col("rank").cast("long").alias("rank"))
+        n = _permutation_size(ranks, "__p")
+        valid = n is not None and _permutation_size(ranks, "rank") == n
+    else:
+        n = len(positions)
+        valid = sorted(positions) == list(range(n))
+        ranks = broadcast_if_small(df.sparkSession.createDataFrame([(p, r) for r, p in enumerate(positions)], "__p long, rank long")) if valid else None
+    if not valid:
         raise ValueError("positions must list 0 .. n-1 once each")
-    i = q(index)
-    found = df.agg(F.count(F.lit(1)), F.count_distinct(i), F.count_if((i >= 0) & (i < n))).first()
-    if found[0] != n:
-        raise ValueError("positions and rows differ in number")
-    if found[1] != n or found[2] != n:
+    found = _permutation_size(df, index)
+    if found is None:
         raise ValueError("rows must have each index from 0 to n - 1 once")
-    spark = df.sparkSession
-    ranks = spark.createDataFrame([(p, r) for r, p in enumerate(positions)], "__p long, rank long")
-    joined = df.join(broadcast_if_small(ranks), q(index) == F.col("__p")).drop("__p")
-    return joined.orderBy("rank")
+    if found != n:
+        raise ValueError("positions and rows differ in number")
+    return df.join(ranks, q(index) == F.col("__p")).drop("__p").orderBy("rank")
 
 
 def first_per_group(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:

@@ -86,3 +86,25 @@ def test_filter_is_causal_around_holes(hole, at):
     x[at] = hole
     out, _ = block_filter(b, a).run(x)
     assert np.allclose(out[:at], clean[:at]) and not np.isfinite(out[at:]).any()
+
+
+def test_order_table_must_be_a_permutation(spark):
+    from tests.conftest import plan_of
+
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "i int, name string")
+
+    def order(rows):
+        return spark.createDataFrame(rows, "position long, rank long")
+
+    out = order_by_list(df, "i", order([(k, (3 * k) % 5) for k in range(5)]))
+    assert [r["i"] for r in out.collect()] == [0, 2, 4, 1, 3] and out.columns == ["i", "name", "rank"]
+    assert "LocalTableScan [__p" not in plan_of(out)
+    for rows in (
+        [(k, k) for k in range(4)], [(k, k) for k in range(6)], [(0, 0), (1, 1), (2, 2), (2, 3), (4, 4)], [(k + 1, k) for k in range(5)],
+        [(k, 0) for k in range(5)], [(k, k + 1) for k in range(5)], [(None, 0), (1, 1), (2, 2), (3, 3), (4, 4)],
+    ):
+        with pytest.raises(ValueError):
+            order_by_list(df, "i", order(rows))
+    with pytest.raises(ValueError):
+        order_by_list(df.union(df.limit(1)), "i", order([(k, k) for k in range(6)]))
+    assert order_by_list(df.limit(0), "i", order([])).count() == 0
