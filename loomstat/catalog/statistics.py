@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from loomstat.catalog.registry import Tables, query, r
 from loomstat.functions.student_t import t_sf
 from loomstat.operators import inference, resampling
-from loomstat.operators.combinatorics import partitions_of, score_partitions
+from loomstat.operators.combinatorics import best_partitions, partitions_of, score_partitions
 from loomstat.operators.signals import iir_filter, welch_psd
+from loomstat.plans.limits import broadcast_if_small
 
 # the 97.5 % point by the published expansion of t around the normal quantile
 Z = 1.959963984540054
@@ -267,6 +268,55 @@ def c3(t: Tables):
     )
 
 
+@query(
+    "c3_score_partitions_mean",
+    """WITH p AS (SELECT l_suppkey, l_linenumber AS c, count(l_quantity) AS n, sum(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL),
+       i AS (SELECT l_suppkey, list_sort(list(c)) AS items FROM p GROUP BY 1),
+       m AS (SELECT *, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM i),
+       b AS (SELECT l_suppkey, [items[j] FOR j IN range(1, len(items) + 1) IF (mask >> (j - 1)) & 1 = 1] AS block FROM m)
+       SELECT l_suppkey, array_to_string(block, ',') AS categories, round(sum(s) / sum(n), 9) AS mean, min(lo) AS least, max(hi) AS most
+       FROM b JOIN p USING (l_suppkey) WHERE list_contains(block, c) GROUP BY 1, 2""",
+)
+def c3_mean(t: Tables):
+    def scored(agg: str, name: str):
+        rows = score_partitions(t.lineitem, "l_suppkey", "l_linenumber", "l_quantity", 2, 7, agg)
+        return rows.select("l_suppkey", F.array_join(F.col("categories").cast("array<string>"), ",").alias("categories"), F.col("total").alias(name))
+
+    every = scored("mean", "mean").withColumn("mean", F.round("mean", 9))
+    for agg, name in (("min", "least"), ("max", "most")):
+        every = every.join(scored(agg, name), ["l_suppkey", "categories"])
+    return every
+
+
+# the 12 months of a nation's suppliers in two halves whose quantities differ least
+@query(
+    "c3_best_partitions",
+    """WITH p AS (SELECT s_nationkey AS k, month(l_shipdate) AS c, sum(l_quantity) AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+       i AS (SELECT k, list(s ORDER BY c) AS t, list(c ORDER BY c) AS items, count(*) AS n FROM p GROUP BY k),
+       -- the first category is always in the first half
+       m AS (SELECT *, unnest(range(0, (1 << (n - 1)::INT) - 1)) * 2 + 1 AS mask FROM i),
+       d AS (SELECT *, abs(list_sum([CASE WHEN (mask >> (j - 1)) & 1 = 1 THEN t[j] ELSE -t[j] END FOR j IN range(1, n + 1)])) AS cost FROM m),
+       b AS (SELECT k, min(cost) AS cost, count(*) AS groupings FROM d GROUP BY k)
+     SELECT k AS s_nationkey, round(cost, 6) AS cost, groupings, round((SELECT sum(s) FROM p WHERE p.k = b.k), 2) AS quantity,
+       round(cost, 6) AS cost_of_blocks FROM b""",
+)
+def c3_best(t: Tables):
+    nations = t.supplier.select("s_suppkey", "s_nationkey")
+    lines = t.lineitem.join(broadcast_if_small(nations), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("month", F.month("l_shipdate"))
+    best = best_partitions(lines, "s_nationkey", "month", "l_quantity", 2, 12).drop("place", "rank")
+    per = lines.groupBy("s_nationkey", "month").agg(F.sum("l_quantity").alias("s"))
+    joined = best.join(per, "s_nationkey")
+    first = F.array_contains(F.col("blocks")[0], F.col("month"))
+    sums = joined.groupBy("s_nationkey", "cost").agg(
+        F.sum("s").alias("quantity"), F.abs(F.sum(F.when(first, F.col("s")).otherwise(-F.col("s")))).alias("cost_of_blocks"),
+        (F.pow(F.lit(2.0), F.count(F.lit(1)) - 1) - 1).cast("long").alias("groupings"),
+    )
+    return sums.select(
+        "s_nationkey", F.round("cost", 6).alias("cost"), "groupings", F.round("quantity", 2).alias("quantity"),
+        F.round("cost_of_blocks", 6).alias("cost_of_blocks"),
+    )
+
+
 @query(
     "c2_ordered_partitions",
     """WITH i AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS items FROM lineitem GROUP BY 1),

@@ -8,17 +8,27 @@ So the numbers are spread over the cluster and no row depends on another one.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from loomstat.plans.keys import as_list, cols, keyed, q
+from loomstat.plans.limits import shuffle_partitions
 from loomstat.plans.positions import expand
+from loomstat.plans.scratch import freeze
 
 _MAX = (1 << 63) - 1
 # up to this many assignments are decoded once and broadcast
 FEW_ASSIGNMENTS = 100_000
+AGGREGATES = ("sum", "min", "max", "mean")
+# partitions that one task compares at once
+CHUNK = 262_144
+# a table of all subsets holds eight bytes a subset
+MAX_SUBSET_ITEMS = 20
 
 
 def completions(items: int, m: int) -> list[list[int]]:
@@ -153,35 +163,151 @@ def ordered_partitions(spark: SparkSession, items: Sequence, m: int) -> DataFram
     return _of_list(spark, items, m, True)
 
 
+def _per_category(df: DataFrame, by: Sequence[str], category: str, value: str, agg: str, max_items: int) -> DataFrame:
+    """One row per key: ``__items``, its categories in order as (``__c``, ``__n``, ``__t``), with one more than allowed at most."""
+    if agg not in AGGREGATES:
+        raise ValueError(f"agg is one of {', '.join(AGGREGATES)}")
+    v = q(value)
+    total = {"min": F.min(v), "max": F.max(v)}.get(agg, F.sum(v))
+    per = df.filter(q(category).isNotNull()).groupBy(*cols(by), q(category).alias("__c")).agg(
+        F.count(v).alias("__n"), total.alias("__t")
+    )
+    # one more than allowed is enough for the error, so that no array grows beyond it
+    number = F.row_number().over(keyed(by).orderBy("__c"))
+    few = per.withColumn("__i", number).filter(F.col("__i") <= max_items + 1)
+    return few.groupBy(*cols(by)).agg(F.array_sort(F.collect_list(F.struct("__c", "__n", "__t"))).alias("__items"))
+
+
+def _block_score(block: Column, kind: DataType, agg: str) -> tuple[Column, Column]:
+    """(number of values, aggregate) of a block of items; the aggregate is NULL without values."""
+    n = F.aggregate(block["__n"], F.lit(0).cast("long"), lambda a, x: a + x)
+    known = F.filter(block["__t"], lambda x: x.isNotNull())
+    if agg in ("min", "max"):
+        return n, {"min": F.array_min, "max": F.array_max}[agg](known)
+    total = F.aggregate(known, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind))
+    if agg == "mean":
+        total = total.cast("double") / F.nullif(n, F.lit(0).cast("long"))
+    return n, F.when(n > 0, total)
+
+
 def score_partitions(
-    df: DataFrame, by: str | Sequence[str] | None, category: str, value: str, m: int, max_items: int
+    df: DataFrame, by: str | Sequence[str] | None, category: str, value: str, m: int, max_items: int, agg: str = "sum"
 ) -> DataFrame:
-    """Every grouping of a key's categories into m blocks with the totals of each block.
+    """Every grouping of a key's categories into m blocks with the aggregate of each block.
 
     Columns ``by``, ``rank`` (number of the partition), ``block`` (0-based), ``categories`` and, over the rows
-    of the block's categories, ``n`` (values) and ``total`` (their sum; NULL without values). Rows without a category are left out.
-    The table is reduced to one row per category first, so the partitions multiply that small result only;
-    a key with more than ``max_items`` categories is an error, one with fewer than m gives no rows.
+    of the block's categories, ``n`` (values) and ``total`` (their ``agg``: sum, min, max or mean; NULL without values). Rows
+    without a category are left out. The table is reduced to one row per category first, so the partitions multiply that
+    small result only; a key with more than ``max_items`` categories is an error, one with fewer than m gives no rows.
     """
     by = as_list(by)
-    per = df.filter(q(category).isNotNull()).groupBy(*cols(by), q(category).alias("__c")).agg(
-        F.count(q(value)).alias("__n"), F.sum(q(value)).alias("__t")
-    )
-    # one more than allowed is enough for the error, so that no array grows beyond it
-    number = F.row_number().over(keyed(by).orderBy("__c"))
-    few = per.withColumn("__i", number).filter(F.col("__i") <= max_items + 1)
-    items = few.groupBy(*cols(by)).agg(F.array_sort(F.collect_list(F.struct("__c", "__n", "__t"))).alias("__items"))
+    items = _per_category(df, by, category, value, agg, max_items)
+    kind = items.schema["__items"].dataType.elementType["__t"].dataType
     rows = partitions_of(items, "__items", m, max_items, name="__blocks")
     rows = rows.select(*cols(by), "rank", F.posexplode("__blocks").alias("block", "__b"))
-    total = F.aggregate(
-        F.filter(F.col("__b.__t"), lambda x: x.isNotNull()), F.lit(0).cast(dict(per.dtypes)["__t"]),
-        lambda a, x: (a + x).cast(dict(per.dtypes)["__t"]),
+    n, total = _block_score(F.col("__b"), kind, agg)
+    return rows.select(*cols(by), "rank", "block", F.col("__b.__c").alias("categories"), n.alias("n"), total.alias("total"))
+
+
+def _subset_scores(n: np.ndarray, t: np.ndarray, agg: str) -> np.ndarray:
+    """The aggregate of every subset of items, by bit mask; each item doubles the table. NaN without values."""
+    join = {"min": np.fmin, "max": np.fmax}.get(agg, np.add)
+    empty = np.nan if agg in ("min", "max") else 0.0
+    scores, counts = np.array([empty]), np.array([0], np.int64)
+    for count, value in zip(n, t, strict=True):
+        scores = np.concatenate((scores, join(scores, value if count else empty)))
+        counts = np.concatenate((counts, counts + count))
+    if agg == "mean":
+        scores = scores / np.maximum(counts, 1)
+    return np.where(counts > 0, scores, np.nan)
+
+
+def _block_masks(ranks: np.ndarray, n: int, m: int) -> np.ndarray:
+    """[block, rank]: the items of each block as bits, for many partition numbers at once."""
+    table = completions(n, m)
+    left, used = ranks.copy(), np.zeros(len(ranks), np.int64)
+    masks = np.zeros((m, len(ranks)), np.int64)
+    places = np.arange(len(ranks))
+    for item in range(n):
+        same = np.array(table[n - 1 - item], np.int64)[used]
+        old = left < same * used
+        step = np.maximum(same, 1)
+        block = np.where(old, left // step, used)
+        left = np.where(old, left % step, left - same * used)
+        used = used + ~old
+        masks[block, places] |= 1 << item
+    return masks
+
+
+def _best_of_chunks(m: int, agg: str, k: int):
+    """Rows (id, rank, cost): the k partitions of a chunk of numbers whose block scores lie closest together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = np.array([x or 0 for x in row["n"]], np.int64)
+                scores = _subset_scores(n, np.array([np.nan if x is None else x for x in row["t"]], np.float64), agg)
+                ranks = np.arange(row["first"], row["last"] + 1)
+                found = scores[_block_masks(ranks, len(n), m)]
+                cost = found.max(axis=0) - found.min(axis=0)
+                # a block without values has no score, so the partition has no cost
+                usable = np.flatnonzero(~np.isnan(cost))
+                if len(usable) > k:
+                    limit = np.partition(cost[usable], k - 1)[k - 1]
+                    usable = usable[cost[usable] <= limit]
+                best = usable[np.lexsort((ranks[usable], cost[usable]))[:k]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["id"]] * len(best), pa.int64()), pa.array(ranks[best]), pa.array(cost[best])],
+                    names=["__id", "rank", "cost"],
+                )
+
+    return run
+
+
+def best_partitions(
+    df: DataFrame, by: str | Sequence[str] | None, category: str, value: str, m: int, max_items: int, agg: str = "sum", k: int = 1
+) -> DataFrame:
+    """The ``k`` most even groupings of each key's categories into m blocks.
+
+    A grouping's ``cost`` is the difference between the largest and the smallest ``agg`` (sum, min, max or mean) of
+    its blocks; groupings with a block without values are left out. Columns ``by``, ``place`` (from 1; ties by ``rank``, the
+    number of the partition), ``rank``, ``cost`` and ``blocks`` (arrays of categories). Rows without a category are left
+    out; a key with more than ``max_items`` categories is an error, one with fewer than m gives no rows.
+
+    A key's aggregates are taken once for every subset of its categories (``2 ** max_items`` numbers, 20 at most) and
+    a partition looks its blocks up there. Numbers of partitions are dealt in chunks to all tasks, and a
+    chunk passes on its k best alone.
+    """
+    if m < 1 or k < 1:
+        raise ValueError("at least one block and one grouping")
+    if max_items > MAX_SUBSET_ITEMS:
+        raise ValueError(f"at most {MAX_SUBSET_ITEMS} items")
+    by = as_list(by)
+    items = _per_category(df, by, category, value, agg, max_items)
+    items = freeze(items.withColumn("__id", F.monotonically_increasing_id()))
+    size = F.size("__items")
+    totals = F.array(*[F.lit(_count(i, m, 1) if i else 0).cast("long") for i in range(max_items + 1)])
+    too_many = F.raise_error(F.lit(f"more than {max_items} items")).cast("long")
+    count = F.when(size > max_items, too_many).otherwise(F.element_at(totals, size + 1))
+    work = items.select(
+        F.col("__id").alias("id"), F.col("__items.__n").alias("n"), F.col("__items.__t").cast("array<double>").alias("t"),
+        count.alias("__total"),
     )
-    n = F.aggregate(F.col("__b.__n"), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select(
-        *cols(by), "rank", "block", F.col("__b.__c").alias("categories"), n.alias("n"),
-        F.when(n > 0, total).alias("total"),
+    chunks = work.filter("__total > 0").withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__total") - 1, F.lit(CHUNK).cast("long")))
     )
+    chunks = chunks.withColumn("last", F.least(F.col("first") + CHUNK, F.col("__total")) - 1).drop("__total")
+    chunks = chunks.repartition(shuffle_partitions(df.sparkSession), "id", "first")
+    found = chunks.mapInArrow(_best_of_chunks(m, agg, k), "__id long, rank long, cost double")
+    place = F.row_number().over(keyed(["__id"]).orderBy("cost", "rank"))
+    best = found.withColumn("place", place).filter(F.col("place") <= k)
+    rows = best.join(items, "__id").withColumn("__of", _assignment(F.col("rank"), size, m, max_items, False))
+    numbers = F.sequence(F.lit(0), F.lit(m - 1))
+
+    def blocks_from(of: Column) -> Column:
+        return F.transform(numbers, lambda b: F.filter(F.col("__items.__c"), lambda x, i: F.element_at(of, i + 1) == b))
+
+    return rows.select(*cols(by), "place", "rank", "cost", _with(F.col("__of"), blocks_from).alias("blocks"))
 
 
 def _of_list(spark: SparkSession, items: Sequence, m: int, ordered: bool) -> DataFrame:
