@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.text import texts
+from loomstat.llm.text import row_id, texts
 from loomstat.llm.words import frequent, pair_counts, tokens, word_counts
+from loomstat.plans.positions import expand
 from loomstat.plans.scratch import freeze
 
 # words with a vector of their own; 0 is the class of all others, 1 the end (and start) of a text
@@ -72,14 +73,14 @@ def _neighbours(n: int):
 
 
 def _score(shared):
-    """Rows per text: one with the sums over frequent words, and one per other word with its number."""
+    """Rows per text: a head with the sums over frequent words, and one per other word with its number."""
 
     def run(frames):
         numbers, known, table, total, words = shared.value
         number, count = numbers.get, known.get
         bottom = np.log10(total + words + 1)
         schema = pa.schema(
-            [("key", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
+            [("id", pa.binary()), ("key", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]
         )
         for batch in frames:
             out = [[] for _ in schema]
@@ -88,7 +89,7 @@ def _score(shared):
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
 
-            for place, text in enumerate(texts(batch.column(1))):
+            for place, text in enumerate(texts(batch.column(2))):
                 found = tokens(text)
                 ids = np.fromiter((number(w, 0) for w in found), np.int64, len(found))
                 counts = np.fromiter((count(w, 0) for w in found), np.float64, len(found))
@@ -100,10 +101,10 @@ def _score(shared):
                 base = float((np.log10(counts[counts > 0] + 1) - bottom).sum() + np.log10(ended + 1) - bottom)
                 inside = counts[(counts > 0) & (ids == 0)]
                 model = float(near.sum(dtype=np.float64) + np.log10(inside + 1).sum())
-                key = batch.column(0)[place].as_py()
-                add(key, None, 0, len(found) + 1, int((counts > 0).sum()) + (ended > 0), base, model)
+                name, key = (batch.column(k)[place].as_py() for k in (0, 1))
+                add(name, key, None, 0, len(found) + 1, int((counts > 0).sum()) + (ended > 0), base, model)
                 for word, times in others.items():
-                    add(key, word.decode("utf-8", "replace"), times, 0, 0, 0.0, 0.0)
+                    add(name, None, word.decode("utf-8", "replace"), times, None, None, None, None)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
                     out[:] = [[] for _ in schema]
@@ -113,13 +114,14 @@ def _score(shared):
 
 
 def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score), all sums of log10, per distinct key.
+    """(key, n_tokens, n_known, train_tokens, base_score, score), all sums of log10, for every row.
 
     Tokens are the words between ASCII blanks with A-Z in lower case, and one end. ``base_score`` is
     add-one smoothing over the counts of the ``training`` rows; ``score`` is the model's log10
     probability of the text. NULL and empty texts hold the end alone. Without training rows the base
-    scores are 0. ``key`` is a whole number; rows of one key (NULL is one) give one row with their sums. An
-    empty table gives no rows; other columns are neither read nor returned.
+    scores are 0. ``key`` is a whole number; rows of one key (NULL is one) are told apart by their texts, and
+    rows that agree in both are scored together and come back as often as they are there. An empty table gives no rows; other
+    columns are neither read nor returned.
     """
     spark = docs.sparkSession
     trained = docs.filter(training).select(F.col(text).alias("text"))
@@ -140,22 +142,28 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     class_total = np.log10(sizes["n"] - known + sizes["v"] - len(numbers) + 1)
     table[:, 0] -= class_total
     shared = spark.sparkContext.broadcast((numbers, counts, table, total, distinct))
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    source = docs.select(row_id(F.col(key), F.col(text)).alias("id"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     scored = source.mapInArrow(
-        _score(shared), "key long, word string, times long, n_tokens long, n_known long, base double, model double"
+        _score(shared), "id binary, key long, word string, times long, n_tokens long, n_known long, base double, model double"
     )
     rare = counted.select(F.col("word").alias("rare"), "n")
-    # sums of frequent words meet no rare word; their join key is unlike any word and differs by text
-    joined = scored.withColumn("join_key", F.coalesce("word", F.concat(F.lit(" "), F.xxhash64("key", "model").cast("string"))))
+    # heads meet no rare word; their join key is unlike any word and differs by text
+    joined = scored.withColumn("join_key", F.coalesce("word", F.concat(F.lit(" "), F.xxhash64("id").cast("string"))))
     joined = joined.join(rare, F.col("join_key") == F.col("rare"), "left")
     c = F.coalesce("n", F.lit(0))
     times = F.col("times")
     gain = times * F.log10(c + 1)
     lost = times * F.lit(float(np.log10(total + distinct + 1)))
-    out = joined.groupBy("key").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(gain - lost)).alias("base_score"),
-        (F.sum("model") + F.sum(gain)).alias("score"),
+    # equal rows have equal heads, and as many rows of each other word as heads
+    copies = F.count("n_tokens")
+    rare_known = F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0))
+    out = joined.groupBy("id").agg(
+        F.max("key").alias("key"),
+        copies.alias("copies"),
+        F.max("n_tokens").alias("n_tokens"),
+        (F.max("n_known") + F.call_function("div", rare_known, copies)).alias("n_known"),
+        (F.max("base") + F.sum(F.when(F.col("word").isNotNull(), gain - lost).otherwise(0.0)) / copies).alias("base_score"),
+        (F.max("model") + F.sum(F.when(F.col("word").isNotNull(), gain).otherwise(0.0)) / copies).alias("score"),
     )
+    out = expand(out.drop("id"), "copies")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

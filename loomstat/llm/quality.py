@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.text import sample_below, texts
+from loomstat.llm.text import row_id, sample_below, texts
 from loomstat.llm.words import frequent
 from loomstat.plans.limits import broadcast_if_small
 from loomstat.plans.scratch import freeze
@@ -193,8 +193,9 @@ def learn(
 ) -> Model:
     """Word vectors from all ``training`` texts; the network from about ``sample_rows`` labelled rows.
 
-    Labels are read of training rows alone and rows without one are left out; without any labelled row, or
-    with one class only, every score is the share of that class (0.5 without rows).
+    Labels are read of training rows alone and rows without one are left out; labels of one key that contradict each
+    other count as 1. Rows that agree in key and text count once, others of a key each. The sample is drawn from the rows by
+    their digests. Without any labelled row, or with one class only, every score is the share of that class (0.5 without rows).
     """
     spark = docs.sparkSession
     trained = docs.filter(training).select(F.col(text).alias("text"))
@@ -215,22 +216,23 @@ def learn(
 
     marked = labels.select(F.col(label_key).alias("of"), F.col(label).cast("int").alias("y")).filter("of IS NOT NULL AND y IN (0, 1)")
     marked = marked.groupBy("of").agg(F.max("y").alias("y"))
-    total = marked.count()
-    marked = freeze(marked.filter(sample_below(F.col("of"), sample_rows / max(total, 1))))
-    source = docs.filter(training).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    chosen = source.join(broadcast_if_small(marked), F.col("key") == F.col("of")).select("key", "y", "text")
+    source = docs.filter(training).select(F.col(key).alias("key"), row_id(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    labelled = source.select("key", "row").join(broadcast_if_small(freeze(marked)), F.col("key") == F.col("of"))
+    labelled = freeze(labelled.groupBy("row").agg(F.max("y").alias("y")))
+    share = sample_rows / max(labelled.count(), 1)
+    sample = freeze(labelled.filter(sample_below(F.hex("row"), share)).withColumnRenamed("row", "of"))
+    chosen = source.join(broadcast_if_small(sample), F.col("row") == F.col("of")).dropDuplicates(["row"]).select("row", "y", "text")
     holder = spark.sparkContext.broadcast(model)
 
     def pooled(frames):
         for batch in frames:
             rows = [holder.value.pool(t).tolist() for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["key", "y", "x"]
+                [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["row", "y", "x"]
             )
 
-    kind = source.schema["key"].dataType.simpleString()
-    rows = chosen.mapInArrow(pooled, f"key {kind}, y int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["key"], r["y"], r["x"]))
+    rows = chosen.mapInArrow(pooled, "row binary, y int, x array<double>").collect()
+    rows.sort(key=lambda r: bytes(r["row"]))
     y = np.array([r["y"] for r in rows], np.float64)
     if len(rows) < 10 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(rows) else 0.5, 0.01, 0.99))

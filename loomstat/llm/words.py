@@ -45,22 +45,24 @@ def word_counts(source: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int, word: str = "word") -> list[tuple]:
-    """(word, n) of at most ``most`` frequent words, in falling order of n.
+    """(word, n) of the ``most`` words with the highest n, ties to the smaller word, in falling order of n.
 
-    Words are taken by eighths of a power of two of their counts, so only a few hundred sums and the words
-    taken reach the driver; words of the eighth that would exceed ``most`` are not among them.
+    Whole eighths of a power of two of the counts are taken while they fit, then the rest from the next one by an
+    ordered limit, so only a few hundred sums and the words taken reach the driver.
     """
     eighth = F.floor(F.log2("n") * 8)
     sizes = counts.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("words")).collect()
-    cut, taken = None, 0
+    cut, crossing, taken = None, None, 0
     for r in sorted(sizes, key=lambda r: -r["e"]):
-        taken += r["words"]
-        if taken > most:
+        if taken + r["words"] > most:
+            crossing = r["e"]
             break
+        taken += r["words"]
         cut = r["e"]
-    if cut is None:
-        return []
-    rows = counts.filter(eighth >= cut).select(word, "n").collect()
+    chosen = counts.select(word, "n")
+    rows = chosen.filter(eighth >= cut).collect() if cut is not None else []
+    if crossing is not None and taken < most:
+        rows += chosen.filter(eighth == crossing).orderBy(F.desc("n"), word).limit(most - taken).collect()
     return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
