@@ -5,11 +5,13 @@ and wrong for a key that holds a third of the table, or for a frame without a ke
 Every ordered operator therefore splits its input:
 
 * keys with at most ``max_group_rows`` rows take one keyed window, one shuffle;
-* larger keys are range-partitioned on (key, order), so that Spark cuts them into
-  many sorted partitions. Each row's position follows from its index inside the
-  partition plus the sizes of the partitions before. Blocks of equally many
-  positions then go to separate tasks, with copies of the few neighbouring rows
-  that a window frame needs.
+* larger keys are cut into ranges of (key, order) at fixed borders. Each row's position
+  follows from its place inside the range plus the sizes of the ranges before. Blocks
+  of equally many positions then go to separate tasks, with copies of the few
+  neighbouring rows that a window frame needs.
+
+The borders are constants of the plan. Every pass over the rows therefore cuts them alike,
+so rows need not be written between passes, and a pass reads the columns that it uses.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstat.plans.keys import attach, cols, keyed
 from loomstat.plans.limits import broadcast_if_small, max_group_rows, shuffle_partitions
 from loomstat.plans.scratch import freeze
 
 POS, BLOCK, OWN = "__pos", "__block", "__own"
+# rows of the sample per range; a range holds twice its share with a chance below one in a thousand
+_SAMPLED = 64
 
 
 @dataclass(frozen=True)
@@ -65,37 +70,65 @@ def union(parts: Sequence[DataFrame | None]) -> DataFrame:
     return out
 
 
+def _range_count(df: DataFrame, rows: int, limit: int) -> int:
+    """All cores are used once they have a thousand rows each; no range is planned above ``limit`` rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(min(cores, rows // 1000), -(-rows // limit), 2)
+
+
+def fixed_borders(df: DataFrame, sort: Sequence[Column], rows: int, parts: int) -> tuple[Column, int]:
+    """Borders of about ``parts`` ranges of ``sort`` as an ascending array constant, and their number.
+
+    They come from a sample of some 64 rows per range, read from the ``sort`` columns alone. Any ascending
+    array cuts the rows correctly, so the sample decides how even the ranges are, never which rows
+    they hold together.
+    """
+    at = df.select(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(sort)]).alias("at"))
+    share = min(1.0, _SAMPLED * parts / max(rows, 1))
+    found = (at if share == 1.0 else at.sample(share, seed=parts)).agg(F.array_sort(F.collect_list("at")).alias("s"))
+    every = F.greatest(F.floor(F.size("s") / parts), F.lit(1))
+    found = found.select(F.filter("s", lambda _, i: (i + 1) % every == 0).alias("s"))
+    styles = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    row = found.select(F.size("s").alias("n"), F.to_json("s", styles).alias("text")).first()
+    kind = T.ArrayType(at.schema["at"].dataType)
+    return F.sort_array(F.from_json(F.lit(row["text"]), kind, styles)), row["n"]
+
+
+def range_of(sort: Sequence[Column], borders: Column, n: int) -> Column:
+    """How many of the ``n`` ascending borders a row is not below, by binary search."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(n.bit_length(), 1)))])
+    here = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(sort)])
+
+    def halve(state: Column, step: Column) -> Column:
+        further = state["n"] + step
+        taken = F.when(F.get(borders, further - 1) <= state["at"], further).otherwise(state["n"])
+        return F.struct(taken.alias("n"), state["at"].alias("at"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("n"), here.alias("at")), halve, lambda state: state["n"])
+
+
 def range_positions(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int, limit: int
+    df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int, limit: int, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``__pos``, the 0-based position within the key, without gathering a key.
 
-    ``order`` must be unique within the key for the positions to be repeatable. The
-    sorted rows are written once, because range borders come from a sample and must
-    not change between the counting pass and the numbering pass. The table of
-    partition sizes has at most (oversized keys + partitions) rows. The number of
-    partitions follows the number of rows: all cores are used once they have a thousand rows
-    each, and no partition is planned above ``limit`` rows.
+    Rows are ordered by ``order`` and then ``ties``; rows that agree in both take their positions in any
+    way, which may differ from one use of the frame to the next. Two passes over the key and order columns find
+    borders and the exact number of rows per key and range; the rows themselves are shuffled once,
+    by key and range, and never written. The table of range sizes has at most (oversized keys + ranges)
+    rows. Rows that agree in ``order`` share a range.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, rows // 1000), -(-rows // limit), 2)
     sort = cols([*by, *order])
-    ranged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-    placed = freeze(ranged.withColumn("__mid", F.monotonically_increasing_id()))
-    placed = placed.withColumn("__part", F.shiftright("__mid", 33))
-    sizes = placed.groupBy(*cols(by), "__part").agg(
-        F.count(F.lit(1)).alias("__rows"), F.min("__mid").alias("__first")
-    )
-    before = keyed(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = freeze(
-        sizes.select(
-            *cols(by),
-            "__part",
-            (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
-        )
-    )
-    numbered = attach(placed, broadcast_if_small(starts), [*by, "__part"])
-    return numbered.withColumn(POS, F.col("__mid") + F.col("__shift")).drop("__mid", "__part", "__shift")
+    borders, n = fixed_borders(df, sort, rows, _range_count(df, rows, limit))
+    ranged = df.withColumn("__range", range_of(sort, borders, n))
+    sizes = ranged.groupBy(*cols(by), "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = keyed(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start")
+    starts = freeze(sizes.select(*cols(by), "__range", start))
+    inside = Window.partitionBy(*cols(by), "__range").orderBy(*cols([*order, *ties]))
+    numbered = ranged.withColumn("__at", F.row_number().over(inside))
+    numbered = attach(numbered, broadcast_if_small(starts), [*by, "__range"])
+    return numbered.withColumn(POS, F.col("__start") + F.col("__at") - 1).drop("__range", "__at", "__start")
 
 
 def positions(
@@ -175,7 +208,8 @@ def hot_total(
 ) -> DataFrame:
     """Running sum in blocks of ``size`` positions plus the sums of the blocks before."""
     v = cols([value])[0]
-    placed = range_positions(df, by, order, rows, size)
+    # the rows are read for the sums and again for the output: equal values may change places, others not
+    placed = range_positions(df, by, order, rows, size, ties=[value])
     placed = placed.withColumn(BLOCK, F.floor(F.col(POS) / size).cast("long"))
     sums = placed.groupBy(*cols(by), BLOCK).agg(F.sum(v).alias("__sum"))
     earlier = keyed(by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
