@@ -40,9 +40,11 @@ class BlockFilter:
         states = np.zeros((count + 1, self.order))
         if start is not None:
             states[0] = start
-        for i in range(count):
-            states[i + 1] = self.step @ states[i] + loads[i]
-        out = blocks @ self.through.T + states[:-1] @ self.observe.T
+        # infinite samples make NaN here, which is what the filter gives
+        with np.errstate(invalid="ignore"):
+            for i in range(count):
+                states[i + 1] = self.step @ states[i] + loads[i]
+            out = blocks @ self.through.T + states[:-1] @ self.observe.T
         # a sample that is not finite must not reach back through the zeros of the product
         for i in np.flatnonzero(~np.isfinite(blocks).all(axis=1)):
             direct = [self.through[k, : k + 1] @ blocks[i, : k + 1] for k in range(SHORT)]

@@ -50,6 +50,22 @@ def drop_missing(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     return df
 
 
+def _surplus(df: DataFrame, name: str) -> DataFrame:
+    """One row: how many rows of a column repeat a value that another row has first.
+
+    Texts and binaries are counted by a 64-bit hash; only values whose hash occurs again, which are few in a column
+    that should be unique, are then counted themselves. Shorter values are counted at once. Both counts
+    are combined map-side, so a value that fills the column is a few rows of the shuffle.
+    """
+    values = df.select(q(name).alias("v")).filter("v IS NOT NULL")
+    if dict(df.dtypes)[name] in ("string", "binary"):
+        hashed = values.select("v", F.xxhash64("v").alias("h"))
+        again = freeze(hashed.groupBy(F.col("h").alias("again")).count().filter("count > 1").select("again"))
+        values = hashed.join(broadcast_if_small(again), F.col("h") == F.col("again"), "left_semi").select("v")
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+
+
 def check(
     df: DataFrame,
     rows: int | None = None,
@@ -62,8 +78,8 @@ def check(
     """Report ``(check, column, failures)`` of all checks, from one aggregate over ``df``.
 
     ``width`` is (array column, expected size). ``rows`` reports the distance from the
-    expected count. ``unique`` counts the surplus rows of repeated values. With ``fail``
-    a failed check raises when the report is evaluated.
+    expected count. ``unique`` counts the surplus rows of repeated values, each column by a pass of its
+    own over that column alone. With ``fail`` a failed check raises when the report is evaluated.
     """
     present = set(df.columns)
     plan: list[tuple[str, str, Column]] = []
@@ -74,10 +90,14 @@ def check(
     for name in as_list(no_nulls):
         plan.append(("no_nulls", name, F.count_if(_missing(df, name))))
     for name in as_list(unique):
-        plan.append(("unique", name, F.count(q(name)) - F.count_distinct(q(name))))
+        plan.append(("unique", name, F.lit(None)))
     if width is not None:
         plan.append(("width", width[0], F.count_if(F.size(q(width[0])) != width[1])))
-    counted = df.agg(F.lit(1).alias("__one"), *[c.alias(f"__f{i}") for i, (_, _, c) in enumerate(plan)])
+    counted = df.agg(F.lit(1).alias("__one"), *[c.alias(f"__f{i}") for i, (k, _, c) in enumerate(plan) if k != "unique"])
+    for i, (kind, name, _) in enumerate(plan):
+        if kind == "unique":
+            # one row to one row
+            counted = counted.join(F.broadcast(_surplus(df, name).withColumnRenamed("surplus", f"__f{i}")))
     items = []
     for i, (kind, name, _) in enumerate(plan):
         failures = F.col(f"__f{i}").cast("long")
