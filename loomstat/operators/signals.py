@@ -21,7 +21,18 @@ def _schema(df: DataFrame, names: Sequence[str], extra: str) -> T.StructType:
     return T.StructType(fields + T.StructType.fromDDL(extra).fields)
 
 
-def _power_sums(by: list[str], nperseg: int, fs: float):
+# samples that are packed into one value, from which a task cuts its segments
+_PACKED = 16_384
+
+
+def _segments(x: np.ndarray, nperseg: int, step: int) -> np.ndarray:
+    """The whole segments of a packed stretch, one per ``step`` samples, as a view."""
+    if len(x) < nperseg:
+        return np.empty((0, nperseg))
+    return np.lib.stride_tricks.sliding_window_view(x, nperseg)[::step]
+
+
+def _power_sums(by: list[str], nperseg: int, step: int, fs: float):
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
     scale = np.full(nperseg // 2 + 1, 2.0 / (fs * (window**2).sum()))
     scale[0] /= 2
@@ -30,9 +41,12 @@ def _power_sums(by: list[str], nperseg: int, fs: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
+            cut = [_segments(np.asarray(xs, dtype=float), nperseg, step) for xs in batch["xs"]]
+            held = np.array([len(c) for c in cut], dtype=int)
+            if not held.sum():
                 continue
-            x = np.array(batch["xs"].tolist(), dtype=float)
+            batch, held, cut = batch[held > 0], held[held > 0], [c for c in cut if len(c)]
+            x = np.concatenate(cut)
             x = (x - x.mean(axis=1, keepdims=True)) * window
             power = np.abs(np.fft.rfft(x, axis=1)) ** 2 * scale
             # segments of one key in one batch are added up before the shuffle
@@ -41,10 +55,10 @@ def _power_sums(by: list[str], nperseg: int, fs: float):
             else:
                 which = np.zeros(len(batch), dtype=int)
             sums = np.zeros((which.max() + 1, power.shape[1]))
-            np.add.at(sums, which, power)
+            np.add.at(sums, which, np.add.reduceat(power, np.cumsum(held) - held, axis=0))
             first = np.unique(which, return_index=True)[1]
             out = batch[by].iloc[first].reset_index(drop=True)
-            out["segments"] = np.bincount(which)
+            out["segments"] = np.bincount(which, held).astype(int)
             out["power"] = list(sums)
             yield out
 
@@ -63,27 +77,31 @@ def welch_psd(
     """One-sided power density ``(freq, psd)`` averaged over half-overlapping segments.
 
     Periodic Hann window, segment mean removed, trailing partial segment dropped. A series
-    shorter than one segment gives no rows. Segments are gathered by the JVM (``nperseg``
-    samples each) and transformed in Arrow batches over many segments and keys.
+    shorter than one segment gives no rows, and one with a missing sample in a segment has NULL for ``psd``.
+    A series is packed into aligned stretches of whole steps, some
+    16,000 samples each, and a stretch also gets the half segment behind its end; no other sample is sent
+    twice. Segments are cut and transformed in Arrow batches over many stretches and keys.
     """
-    by, step = as_list(by), nperseg - nperseg // 2
+    by, behind = as_list(by), nperseg // 2
+    step = nperseg - behind
+    size = step * max(1, _PACKED // step)
     x = q(column).cast("double").alias("__x")
     rows = positions(df.select(*cols(by), *cols(as_list(order)), x), by, as_list(order), max_rows)
-    first = F.greatest(F.lit(0), F.ceil((F.col(POS) - nperseg + 1) / step)).cast("long")
-    last = F.floor(F.col(POS) / step).cast("long")
-    cut = rows.select(*cols(by), POS, "__x", F.explode(F.sequence(first, last)).alias("__seg"))
+    stretch = F.floor(F.col(POS) / size).cast("long")
+    before = F.when((F.col(POS) % size < behind) & (stretch > 0), stretch - 1)
+    cut = rows.select(*cols(by), POS, "__x", F.explode(F.array_compact(F.array(stretch, before))).alias("__stretch"))
     segments = (
-        cut.groupBy(*cols(by), "__seg")
+        cut.groupBy(*cols(by), "__stretch")
         .agg(F.array_sort(F.collect_list(F.struct(POS, "__x"))).getField("__x").alias("xs"))
-        .filter(F.size("xs") == nperseg)
         .select(*cols(by), "xs")
     )
     schema = _schema(segments, by, "segments long, power array<double>")
-    sums = segments.mapInPandas(_power_sums(by, nperseg, float(fs)), schema)
+    sums = segments.mapInPandas(_power_sums(by, nperseg, step, float(fs)), schema)
     return (
         sums.select(*cols(by), "segments", F.posexplode("power").alias("__i", "__p"))
         .groupBy(*cols(by), "__i")
-        .agg((F.sum("__p") / F.sum("segments")).alias("psd"))
+        # the power of a stretch with a missing sample comes back as NULL, which a sum would pass over
+        .agg(F.when(F.count("__p") == F.count(F.lit(1)), F.sum("__p") / F.sum("segments")).alias("psd"))
         .select(*cols(by), (F.col("__i") * (float(fs) / nperseg)).alias("freq"), "psd")
     )
 
