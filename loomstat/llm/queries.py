@@ -127,7 +127,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op6_suffix_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return suffixdedup.remove_repeats(_table(spark, folder, "documents"))
+    return suffixdedup.remove_repeats(_table(spark, folder, "documents"), passage=suffixdedup.PASSAGE)
 
 
 @_query("op7_token_counts")

@@ -276,6 +276,62 @@ def test_interval_expansion(texts, length):
         assert windows.tolist() == [i for i in range(len(t) - length + 1) if every.count(t[i : i + length]) > 1]
 
 
+@given(st.lists(st.binary(min_size=12, max_size=60).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=2, max_size=6), st.integers(4, 20), st.data())
+@settings(max_examples=150, deadline=None)
+def test_likely_runs_hold_all_repeats(texts, length, data):
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    runs = set()
+    for i, start, n, anchor in zip(*(x.tolist() for x in suffixdedup.runs_of(raw, at, length)), strict=True):
+        runs.add((anchor, texts[i][start : start + n + length - 1]))
+    runs = sorted(runs)
+    if not runs:
+        return
+    once = [data.draw(st.booleans()) for _ in runs]
+    windows = [{(a, p[k : k + length]) for k in range(len(p) - length + 1)} for a, p in runs]
+    likely = suffixdedup.likely_runs([p for _, p in runs], [a for a, _ in runs], once, length)
+    for i, own in enumerate(windows):
+        if any(own & other and (once[i] or once[j]) for j, other in enumerate(windows) if j != i):
+            assert i in likely
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_passages_equal_brute_force(spark, monkeypatch, limit):
+    """Shorter passages are counted, too; what is removed stays as without them."""
+    monkeypatch.setattr(suffixdedup, "ANCHOR_RUNS", limit)
+    rng = random.Random(3)
+    shared = ["".join(rng.choices("abé ", k=k)) for k in (20, 40, 60, 90)]
+    texts = ["".join(rng.choice(shared)[rng.randrange(9) :] + "".join(rng.choices("xyz", k=rng.randrange(12))) for _ in range(3)) for _ in range(40)]
+    texts += ["".join(rng.choices("mnopq", k=60)) for _ in range(5)] + texts[:3] + ["", "b" * 300, "x" * 23]
+    docs = frame(spark, [(i, t, "", "") for i, t in enumerate(texts)] + [(99, None, "", "")])
+    found = {r["doc_id"]: r for r in suffixdedup.remove_repeats(docs, length=40, passage=24).collect()}
+    plain = {r["doc_id"]: r for r in suffixdedup.remove_repeats(docs, length=40).collect()}
+    assert len(found) == len(texts) + 1 and found[99]["n_passage_bytes"] == 0
+    raw = [t.encode() for t in texts]
+    short = 0
+    for i, (long_flags, flags) in enumerate(zip(brute_cuts(raw, 40), brute_cuts(raw, 24), strict=True)):
+        assert (found[i]["n_removed"], found[i]["n_passage_bytes"]) == (sum(long_flags), sum(flags))
+        assert all(found[i][c] == plain[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+        short += any(flags) and not any(long_flags)
+    assert short
+    with pytest.raises(ValueError):
+        suffixdedup.remove_repeats(docs, length=24, passage=24)
+
+
+def test_passages_below_the_removed_length(spark, tmp_path):
+    """The query reports a passage of 320 bytes, which its contract leaves in place."""
+    from loomstat.llm.queries import QUERIES
+
+    short, long = passage(1, 320), passage(2)
+    rows = [(1, passage(3, 300) + short + passage(4)), (2, short + passage(5, 200)), (3, passage(6, 300)), (4, long + passage(7)), (5, passage(8) + long)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_removed"], r["n_passage_bytes"]) for r in QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
+    raw = [t.encode() for _, t in rows]
+    for (i, _), cut, flags in zip(rows, brute_cuts(raw, 400), brute_cuts(raw, 240), strict=True):
+        assert found[i] == (sum(cut), sum(flags))
+    assert [found[i][0] > 0 for i in (1, 2, 3, 4, 5)] == [False, False, False, True, True]
+    assert [found[i][1] > 0 for i in (1, 2, 3, 4, 5)] == [True, True, False, True, True]
+
+
 def test_ledger_is_idempotent(spark, odd, none, tmp_path):
     ranks = rollup.public_ranks(spark)
     counted = rollup.count_tokens(odd, ranks)
